@@ -35,7 +35,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Scale: level 0 shuffles (length, 64 bytes) with map-side counts, then each text once. Hot
     groups are counted map-side and joined back through a skew-splittable join, so no task
-    gathers a group. Later levels see only rows that share length and prefix with another.
+    gathers a group (the merge hint keeps one plan at every size). Later levels see only rows that share length and prefix with another.
     """
     cols = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")]
     if carry:
@@ -47,7 +47,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = base.select(F.octet_length(raw).alias("len"), head.alias("dig")).groupBy("len", "dig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = written(first.select("len", "dig", F.monotonically_increasing_id().alias("g")), "radix-groups")
     keyed = base.withColumns({"len": F.octet_length(raw), "dig": head, "sha": F.sha2(raw, 256)})
-    met = keyed.alias("l").join(groups.alias("r"), (F.col("l.len") == F.col("r.len")) & (F.col("l.dig") == F.col("r.dig")), "left")
+    met = keyed.alias("l").join(groups.hint("merge").alias("r"), (F.col("l.len") == F.col("r.len")) & (F.col("l.dig") == F.col("r.dig")), "left")
     rest = ["rest"] if carry else []
     text = F.col("text") if carry else F.when(F.col("g").isNotNull(), F.col("text"))
     level = written(met.select("id", F.monotonically_increasing_id().alias("rid"), F.col("l.len").alias("len"), "sha", "g", text.alias("text"), *rest), "radix-0")
@@ -64,7 +64,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keyed = open_rows.withColumn("dig", digit)
         found = keyed.groupBy("g", "dig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "rid")).alias("best")).filter("n > 1")
         groups = written(found.select(F.col("g").alias("g0"), F.col("dig").alias("dig0"), "n", "best", F.monotonically_increasing_id().alias("g1")), "radix-groups")
-        met = keyed.join(groups, (F.col("g") == F.col("g0")) & (F.col("dig") == F.col("dig0")), "left")
+        met = keyed.join(groups.hint("merge"), (F.col("g") == F.col("g0")) & (F.col("dig") == F.col("dig0")), "left")
         ended = F.col("len") <= at + width
         more = F.col("g1").isNotNull() & ~ended
         keep = F.when(F.col("g1").isNull(), F.struct("id", "rid")).otherwise(F.col("best"))
