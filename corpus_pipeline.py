@@ -1,13 +1,72 @@
-"""The corpus pipeline: its stages, applied in order to documents."""
+"""The corpus pipeline: toxicity, exact and near deduplication, mixing and packing, each run over all that its predecessor kept."""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from peptaflow.llm import common, exact_dedup, mixing, packing, simhash, token_counts, toxicity
+
+#: Scratch tables of finished stages go when the next stage begins: its input has been written by then.
+_HELD = {"before": 0}
+
+
+def _begin(first: bool = False) -> None:
+    if first:
+        _HELD["before"] = common.release(keep=1 << 60)
+    else:
+        common.release(keep=_HELD["before"])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples call toxic go."""
+    _begin(first=True)
+    model = toxicity.fit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, model, carry=True).filter("predicted = 0").select("row.*")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one row stays."""
+    _begin()
+    return exact_dedup.exact_dedup(docs, carry=True).filter("kept").select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id stays."""
+    _begin()
+    gone = simhash.simhash_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that domains have their target share of tokens."""
+    _begin()
+    import public_tokenizers
+
+    pieces = token_counts.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    mixed = mixing.mix(docs, mixing.label_domains(common.table(spark, sf_dir, "labels")), pieces, carry=True)
+    return mixed.filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences."""
+    _begin()
+    return packing.pack(docs, *packing.load_ranks())
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("simhash", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+
+#: Nearest-neighbour scores, fitted rates and tokenizers are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, each written as Parquet and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        docs = common.written(out, f"stage-{name}")
+        common.pin(docs)
     return docs

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_PINNED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="peptaflow-")
         spark.sparkContext.setCheckpointDir(found)
@@ -49,6 +52,13 @@ def discard(*tables: DataFrame | None) -> None:
             _WRITTEN.remove(entry)
 
 
+def pin(table: DataFrame) -> None:
+    """Exempts a scratch table from ``release``; it goes at exit."""
+    for entry in [e for e in _WRITTEN if e[1] == table._scratch_path]:
+        _WRITTEN.remove(entry)
+        _PINNED.append(entry)
+
+
 def release(keep: int = 0) -> int:
     """Deletes every scratch table written after the first ``keep`` ones; returns how many are left.
 
@@ -61,6 +71,7 @@ def release(keep: int = 0) -> int:
 @atexit.register
 def _at_exit() -> None:
     try:
+        _WRITTEN.extend(_PINNED)
         release()
     except Exception:  # the JVM is gone already; the folder's owner cleans up
         _WRITTEN.clear()
