@@ -39,12 +39,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that domains have their target share of tokens."""
+    """Documents are repeated or left out so that high and low quality have their target share of tokens; posteriors weigh each document."""
     _begin()
     import public_tokenizers
 
     pieces = token_counts.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    mixed = mixing.mix(docs, mixing.label_domains(common.table(spark, sf_dir, "labels")), pieces, carry=True)
+    mixed = mixing.mix(docs, mixing.quality_domains(common.table(spark, sf_dir, "labels")), pieces, mixing.QUALITY_TARGETS, carry=True)
     return mixed.filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 

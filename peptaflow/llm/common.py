@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _PINNED: list[tuple[SparkSession, str]] = []
@@ -77,5 +78,10 @@ def _at_exit() -> None:
         _WRITTEN.clear()
 
 
+def with_fields(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
+    """A copy of the schema with more fields."""
+    return T.StructType([*schema.fields, *(T.StructField(k, v) for k, v in kinds.items())])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

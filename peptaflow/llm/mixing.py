@@ -16,15 +16,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, table, written
+from .common import discard, table, with_fields, written
 from .token_counts import counter, load_pieces
 from .toxicity import _WORD, TermIds, word_terms
 
 #: Labelled rows that the classifier is fitted on, at most; terms kept for each domain, at most; least documents of a term.
 SAMPLE, TERMS, LEAST_DOCS, LEAST_CHI2 = 6000, 256, 8, 30.0
 #: Share of all tokens that each domain is to have after mixing.
-TARGETS = {"clean": 0.90, "low": 0.09, "toxic": 0.01}
+TARGETS = {"clean": 0.87, "low": 0.08, "toxic": 0.05}
+#: The same for the pipeline, whose first stage has removed toxic documents.
+QUALITY_TARGETS = {"high": 0.92, "low": 0.08}
 STEPS, TOLERANCE = 40, 1e-3
 STYLE = 9
 
@@ -85,6 +88,11 @@ def label_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.select(F.col(f"`{id_col}`").alias("id"), F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "low").alias("domain")).dropna()
 
 
+def quality_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Domains of the labelled table by quality alone: high or low."""
+    return labels.select(F.col(f"`{id_col}`").alias("id"), F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("domain")).dropna()
+
+
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], sample: int = SAMPLE, terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
     """Fits the classifier on at most ``sample`` labelled rows (by hash of the id) with their whole texts.
 
@@ -160,7 +168,7 @@ def memberships(docs: DataFrame, model: DomainModel, pieces: tuple[str, ...], id
             yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))], names=[*(b.schema.names if carry else ["id"]), "tokens", "p"])
 
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if carry else []))
-    schema = (base.schema if carry else base.select("id").schema).add("tokens", "long").add("p", "array<double>")
+    schema = with_fields(base.schema if carry else base.select("id").schema, tokens=T.LongType(), p=T.ArrayType(T.DoubleType()))
     return base.mapInArrow(run, schema)
 
 
@@ -231,7 +239,7 @@ def rated(members: DataFrame, steps: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replay(_posterior_matrix(b, k), steps) if b.num_rows else np.zeros(0))], names=[*b.schema.names, "rate"])
 
     unit = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit("copies")), 11).cast("double") / F.lit(float(1 << 53))
-    return members.mapInArrow(run, members.schema.add("rate", "double")).withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    return members.mapInArrow(run, with_fields(members.schema, rate=T.DoubleType())).withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, pieces: tuple[str, ...], targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

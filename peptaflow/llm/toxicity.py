@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, table, written
+from .common import discard, table, with_fields, written
 
 #: Labelled rows that the model is fitted on, at most (those with the smallest hashes of doc_id).
 SAMPLE = 8000
@@ -231,8 +232,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
             got = [shared.value.score(t.as_py() or "") for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.string())], names=[*b.schema.names, "score", "evidence"])
 
-    kinds = ", ".join(f"{c} {t}" for c, t in base.dtypes if c != "rest")
-    schema = base.schema.add("score", "double").add("evidence", "string") if carry else f"{kinds}, score double, evidence string"
+    schema = with_fields(base.schema, score=T.DoubleType(), evidence=T.StringType())
     if not carry:
         base_run = run
 
@@ -240,7 +240,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
             for b in base_run(batches):
                 yield b.select(["id", "score", "evidence"])
 
-        schema = f"id {base.dtypes[0][1]}, score double, evidence string"
+        schema = with_fields(base.select("id").schema, score=T.DoubleType(), evidence=T.StringType())
     out = base.mapInArrow(run, schema)
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     cols = [F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"]
