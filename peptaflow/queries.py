@@ -2,28 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _topn_recall_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice", "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
-    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")
-    top = li.withColumn("rk", F.row_number().over(w)).filter("rk <= 20")
-    return top.groupBy("l_suppkey").agg(F.sum((F.col("l_returnflag") == "R").cast("bigint")).alias("top20_hits"))
-
-
-QUERIES["topn_recall_pivot"] = _topn_recall_pivot
-ORACLES["topn_recall_pivot"] = """
-SELECT l_suppkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS top20_hits FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) rk FROM lineitem)
-WHERE rk <= 20 GROUP BY l_suppkey"""
+from .plans import models, relational, sequences, windows  # noqa: F401  (each registers its queries)
+from .plans.registry import ORACLES, QUERIES  # noqa: F401
