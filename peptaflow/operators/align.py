@@ -11,6 +11,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequences import RESIDUES
 
@@ -120,7 +121,7 @@ def local_score(a: str, b: str) -> int:
     return int(best)
 
 
-@F.pandas_udf("aln1 string, aln2 string, hamming long, bits double")
+@F.pandas_udf(T.StructType([T.StructField("aln1", T.StringType()), T.StructField("aln2", T.StringType()), T.StructField("hamming", T.LongType()), T.StructField("bits", T.DoubleType())]))
 def place_udf(inner: pd.Series, outer: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(inner, outer, strict=True):
@@ -132,7 +133,7 @@ def place_udf(inner: pd.Series, outer: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["aln1", "aln2", "hamming", "bits"])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def local_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([local_score(x, y) if x and y else 0 for x, y in zip(a, b, strict=True)], dtype="int64")
 

@@ -45,7 +45,7 @@ def read_genome_blocks(spark: SparkSession, path: str, block: int = 1 << 16) ->
 def genome_slices(regions: DataFrame, blocks: DataFrame, block: int = 1 << 16) -> DataFrame:
     """Adds ``bases`` of each region (chrom, start, end; 0-based, half open), read from the blocks that it touches."""
     keyed = regions.withColumn("_id", F.xxhash64("chrom", "start", "end"))
-    need = keyed.select("_id", "chrom", "start", "end").distinct().withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).cast("int"))
+    need = keyed.select("_id", "chrom", "start", "end").distinct().withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block).cast("int"), F.floor((F.col("end") - 1) / block).cast("int"))))
     cut = need.join(blocks, ["chrom", "block"]).select("_id", "block", F.substring("bases", F.greatest(F.col("start") - F.col("block") * block, F.lit(0)) + 1, F.least(F.col("end") - F.col("block") * block, F.lit(block)) - F.greatest(F.col("start") - F.col("block") * block, F.lit(0))).alias("part"))
     whole = cut.groupBy("_id").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda s: s["part"])).alias("bases"))
     return keyed.join(whole, "_id", "left").drop("_id")

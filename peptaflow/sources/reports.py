@@ -21,7 +21,7 @@ CHROMOSOMES = [f"chr{c}" for c in [*range(1, 23), "X", "Y"]]
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no from 1, value). A file's lines are numbered within one row, so this is for files of moderate size, each read whole by one task."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "value"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "value"))
     return whole.select("file", (F.col("i") + 1).alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
@@ -163,7 +163,7 @@ def read_tcr_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def read_blocks(spark: SparkSession, path: str, every: int = 4, offset: int = 2) -> DataFrame:
     """Rows of reports whose parts are divided by dashed rulers: the parts at ``offset`` of each ``every``, as token arrays."""
-    parts = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"(?m)^-{5,}\s*$")).alias("i", "part"))
+    parts = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"(?m)^-{5,}\s*$")).alias("i", "part"))
     lines = parts.filter(F.col("i") % every == offset).select("i", F.posexplode(F.split("part", "\n")).alias("j", "line")).filter(F.trim("line") != "")
     return lines.select("i", "j", F.split(F.trim("line"), r"\s+").alias("t"))
 
