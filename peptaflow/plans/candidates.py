@@ -30,6 +30,47 @@ def annotated_variants(lines: DataFrame, abundance: DataFrame, tpm: float = 0.0)
     return placed.join(abundance.filter(F.col("tpm") > tpm), "transcript")
 
 
+def _info_field(key: str) -> Column:
+    """Value of one key of a variant line's eighth column."""
+    return F.regexp_extract(F.split("value", "\t")[7], rf"(?:^|;){key}=([^;]*)", 1)
+
+
+def ann_variants(lines: DataFrame, abundance: DataFrame) -> DataFrame:
+    """Variant lines (line_no, value) whose INFO has ``ANN`` sub-records to the same records as ``annotated_variants``.
+
+    Sub-records are apart by commas, their fields by bars. Kept are expressed transcripts with a protein position that
+    the protein change names, and one residue on either side of it."""
+    v = F.split("value", "\t")
+    sub = lines.filter(~F.col("value").startswith("#")).select("line_no", v[0].alias("chrom"), v[1].cast("long").alias("start"), v[3].alias("ref"), v[4].alias("alt"), F.explode(F.split(_info_field("ANN"), ",")).alias("a")).withColumn("a", F.split("a", r"\|")).filter(F.size("a") > 13)
+    cell = lambda i: F.col("a")[i]
+    number = lambda i: F.substring_index(cell(i), "/", 1)
+    change = F.regexp_extract_all(cell(10), F.lit(r"^p\.([A-Za-z]{3})(\d+)([A-Za-z]{3})$"), F.lit(0))
+    part = lambda g: F.regexp_extract(cell(10), r"^p\.([A-Za-z]{3})(\d+)([A-Za-z]{3})$", g)
+    wanted = (cell(1) == "frameshift_variant") | cell(1).rlike("inframe_insertion|inframe_deletion|missense_variant")
+    d = sub.filter(wanted & (F.size(change) == 1) & (part(2) == number(13)))
+    rec = d.select(
+        "line_no", cell(1).alias("consequence"), "chrom", S.strip_version(cell(6)).alias("transcript"), number(13).cast("int").alias("protein_pos"), S.shorten_residues(part(1)).alias("ref_aa"), S.shorten_residues(part(3)).alias("alt_aa"),
+        "ref", "alt", number(11).try_cast("long").alias("cdna_start"), number(11).try_cast("long").alias("cdna_end"), "start", F.col("start").alias("end"), number(12).try_cast("long").alias("cds_pos"),
+    )
+    return rec.join(abundance, "transcript")
+
+
+def funcotated_missense(lines: DataFrame, abundance: DataFrame) -> DataFrame:
+    """Variant lines whose INFO has a bracketed bar-separated ``FUNCOTATION`` with a missense class, to the same records.
+
+    Transcripts are matched with their versions, so ``abundance`` must keep them."""
+    body = F.split(F.regexp_extract(_info_field("FUNCOTATION"), r"\[([^\]]*)", 1), r"\|")
+    d = lines.filter(~F.col("value").startswith("#") & F.col("value").contains("MISSENSE")).select("line_no", body.alias("a")).filter(F.size("a") > 18)
+    cell = lambda i: F.col("a")[i]
+    part = lambda g: F.regexp_extract(cell(18), r"^p\.([A-Za-z*]+)(\d+)(.*)$", g)
+    coding = F.regexp_extract(cell(16), r"^c\.(\d+)", 1).try_cast("long")
+    rec = d.filter((cell(5) == "MISSENSE") & (part(2) != "")).select(
+        "line_no", F.lit("missense_variant").alias("consequence"), cell(2).alias("chrom"), cell(12).alias("transcript"), part(2).cast("int").alias("protein_pos"), part(1).alias("ref_aa"), part(3).alias("alt_aa"),
+        cell(8).alias("ref"), cell(10).alias("alt"), coding.alias("cdna_start"), coding.alias("cdna_end"), cell(3).cast("long").alias("start"), cell(4).cast("long").alias("end"), coding.alias("cds_pos"),
+    )
+    return rec.join(abundance, "transcript")
+
+
 def missense_windows(records: DataFrame, proteome: DataFrame) -> DataFrame:
     """Adds mt_pep and wt_pep: 10 residues on either side of the change, cut at the protein's ends.
 

@@ -72,6 +72,21 @@ def test_missense_and_inframe(spark):
     assert head.startswith("SNV_D2_B WT=") and head.endswith("TPM=5.0")
 
 
+def test_other_annotations(spark):
+    ab = spark.createDataFrame([("T1", 5.0), ("T1.2", 6.0)], "transcript string, tpm double")
+    ann = "|".join(["T", "missense_variant", "M", "g", "G", "transcript", "T1.2", "b", "1/2", "c.88A>T", "p.Ala30Trp", "100/400", "88/300", "30/100", "", ""])
+    rows = ["#x", f"chr1\t100\t.\tA\tT\t9\tPASS\tDP=3;ANN={ann},{ann.replace('T1.2', 'T9.1')},{ann.replace('30/100', '31/100')},{ann.replace('missense', 'synonymous')}"]
+    r = C.ann_variants(lines(spark, rows), ab).collect()
+    assert [(x["line_no"], x["transcript"], x["protein_pos"], x["ref_aa"], x["alt_aa"], x["cds_pos"], x["tpm"]) for x in r] == [(2, "T1", 30, "A", "W", 88, 5.0)]
+    f = [""] * 20
+    f[2], f[3], f[4], f[5], f[8], f[10], f[12], f[16], f[18] = "chr1", "100", "100", "MISSENSE", "A", "T", "T1.2", "c.88A>T", "p.A30W"
+    rows = [f"chr1\t100\t.\tA\tT\t9\tPASS\tDP=3;FUNCOTATION=[{'|'.join(f)}]", "chr1\t1\t.\tA\tT\t9\tPASS\tDP=3"]
+    r = C.funcotated_missense(lines(spark, rows), ab).collect()
+    assert [(x["line_no"], x["transcript"], x["protein_pos"], x["alt_aa"], x["tpm"]) for x in r] == [(1, "T1.2", 30, "W", 6.0)]
+    prot = spark.createDataFrame([("T1.2", PROTEIN)], "transcript string, seq string")
+    assert C.missense_windows(C.funcotated_missense(lines(spark, rows), ab), prot).first()["mt_pep"][10] == "W"
+
+
 def test_frameshift(spark):
     ab = spark.createDataFrame([("T1", 5.0)], "transcript string, tpm double")
     prot = spark.createDataFrame([("T1", PROTEIN)], "transcript string, seq string")
