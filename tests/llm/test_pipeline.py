@@ -20,6 +20,8 @@ def folder(spark, tmp_path_factory):
         if i % 9 == 0:
             for _ in range(5):
                 words[rng.randrange(len(words))] = rng.choice(bad)
+        if i % 10 == 0:
+            words = [w.upper() + "!!" for w in words]
         docs.append((i, " ".join(words)))
         if i % 2 == 0:
             labels.append((i, int(i % 10 != 0), int(i % 9 == 0)))
@@ -45,7 +47,7 @@ def test_each_stage_against_brute_force(spark, folder, tmp_path):
     before, rows = outs[0]
     model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
     assert sorted(((r["doc_id"], r["text"]) for r in rows), key=str) == [(i, t) for i, t in before if model.score(t or "")[0] < 0.5]
-    toxic = {i for i, t in before if t and re.search("scoundrel|dolt|vermin", t)}
+    toxic = {i for i, t in before if t and re.search("(?i)scoundrel|dolt|vermin", t)}
     kept = {r["doc_id"] for r in rows}
     assert len(toxic & kept) <= 0.1 * len(toxic) and len({i for i, _ in before} - toxic - kept) <= 5
 

@@ -34,7 +34,7 @@ def rows_of(n, dims, seed, copies=0.3):
 
 @pytest.mark.parametrize("cell,block", [(4096, 8192), (60, 40)])
 def test_like_brute_force(spark, cell, block):
-    rows = rows_of(500, 6, 1) + [(600, None), (650, [1.0, None, 0, 0, 0, 0]), (700, [float("nan")] * 6), (750, [float("inf")] * 6), (None, [1.0] * 6), (800, [0.0] * 6), (850, [0.5] * 3), (0, rows_of(1, 6, 1)[0][1])]
+    rows = rows_of(500, 6, 1) + [(600, None), (650, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (700, [float("nan")] * 6), (750, [float("inf")] * 6), (None, [1.0] * 6), (800, [0.0] * 6), (850, [0.5] * 3), (0, rows_of(1, 6, 1)[0][1])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, vid string").repartition(6)
     got = {tuple(r) for r in top_k(df, cell=cell, block=block).select("query_id", "rank", "vec_id", "score").collect()}
     assert got == brute(rows)
