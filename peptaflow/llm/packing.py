@@ -154,7 +154,7 @@ def pack(docs: DataFrame, ranks: bytes, pattern: str, capacity: int = CAPACITY,
     slots, _ = plan(histogram, capacity)
     shared = docs.sparkSession.sparkContext.broadcast((slots, slots[:, 0] << 44 | slots[:, 1]))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = made.join(counts.select("length", "task", before.alias("before")), ["length", "task"])
+    ranked = made.join(counts.select("length", "task", before.alias("before")).hint("merge"), ["length", "task"])  # the counts grow with the number of tasks
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, keys = shared.value
