@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -83,5 +84,15 @@ def with_fields(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(k, v) for k, v in kinds.items())])
 
 
+def bounded_sample(df: DataFrame, most: int, key: str) -> DataFrame:
+    """The ``most`` rows with the smallest hashes of ``key``, all rows if there are no more.
+
+    A threshold on the hash first leaves about twice as many, so that no task or driver sees ``most`` rows of each partition."""
+    n, whole = df.count(), 1 << 40
+    u = F.pmod(F.xxhash64(key), F.lit(whole))
+    near = df if n <= 2 * most else df.filter(u < whole * 2 * most // n)
+    return near.orderBy(u, key).limit(most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import bounded_sample, discard, table, written
 
 #: Vectors of the bounded sample from which anchors are chosen; most anchors; vectors a cell has on average, and a block at most.
 SAMPLE, ANCHORS, CELL, BLOCK = 8192, 512, 4096, 8192
@@ -205,7 +205,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     distinct = written(merged.withColumn("vid", F.monotonically_increasing_id()), "distinct")
     n = distinct.count()
     cells = max(1, min(ANCHORS, -(-n // cell)))
-    sample = [r["vec"] for r in distinct.orderBy(F.xxhash64("vec")).limit(SAMPLE).select("vec").collect()] if cells > 1 else []
+    sample = [r["vec"] for r in bounded_sample(distinct.select("vec"), SAMPLE, "vec").collect()] if cells > 1 else []
     anchors = farthest_first(np.frombuffer(b"".join(sample), "<i8").reshape(len(sample), dims).astype(float), cells) if sample else np.zeros((1, dims))
     shared = rows.sparkSession.sparkContext.broadcast(anchors)
 

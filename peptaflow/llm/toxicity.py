@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, table, with_fields, written
+from .common import bounded_sample, discard, table, with_fields, written
 
 #: Labelled rows that the model is fitted on, at most (those with the smallest hashes of doc_id).
 SAMPLE = 8000
@@ -180,7 +180,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str =
     """At most ``most`` labelled training rows (id, text, y) with their whole texts, chosen by hash."""
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
     train = marks.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
-    chosen = train.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
+    chosen = bounded_sample(train.groupBy("id").agg(F.max("y").alias("y")), most, "id")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     # The chosen rows are at most ``most`` pairs of numbers.
     return written(texts.join(F.broadcast(chosen), "id").repartition(12, F.xxhash64("id", "text")), "labelled")
