@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, table, with_fields, written
-from .token_counts import counter, load_pieces
-from .toxicity import _WORD, TermIds, word_terms
+from .common import bounded_sample, discard, table, with_fields, written
+from .token_counts import WORD_START, WordCounts, counter, load_pieces
+from .toxicity import _WORD, STEMS, TermIds, word_terms
 
 #: Labelled rows that the classifier is fitted on, at most; terms kept for each domain, at most; least documents of a term.
 SAMPLE, TERMS, LEAST_DOCS, LEAST_CHI2 = 6000, 256, 8, 30.0
@@ -29,20 +29,61 @@ TARGETS = {"clean": 0.87, "low": 0.08, "toxic": 0.05}
 #: The same for the pipeline, whose first stage has removed toxic documents.
 QUALITY_TARGETS = {"high": 0.92, "low": 0.08}
 STEPS, TOLERANCE = 40, 1e-3
-STYLE = 9
+STYLE = 8
 #: Misfits are weighed by the inverse of sum(tokens p p') with this share of its mean diagonal added, so a domain without mass cannot rule the fit.
 RIDGE = 1e-3
-
-
-def style(text: str, words: Sequence[str]) -> list[float]:
+CACHE_WORDS = 400_000
+_UPPER_ONE = 1 << 40
+
+
+class WordSums(dict):
+    """word -> tokens, plus 2^40 if it is in capitals: one sum over a text gives both; forgets all when full."""
+
+    def __init__(self, counts: WordCounts, most: int = CACHE_WORDS):
+        super().__init__()
+        self.counts, self.most = counts, most
+
+    def __missing__(self, word: str) -> int:
+        v = self.counts.automaton.count(WORD_START + word) + (_UPPER_ONE if word.isupper() else 0)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = v
+        return v
+
+
+class RawTermIds(TermIds):
+    """As TermIds, for words as they stand between white space: lower-cased, punctuation apart."""
+
+    def __init__(self, vocabulary: dict[str, int], most: int = CACHE_WORDS):
+        super().__init__(vocabulary, most)
+        self.by_head: dict[str, list[tuple[str, bool, int]]] = {}  # a word's terms all share its first letters
+        for t, i in vocabulary.items():
+            term = t.rstrip("-")
+            self.by_head.setdefault(term[: STEMS[0]], []).append((term, t.endswith("-"), i))
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        low, ids = word.lower(), ()
+        for w in (low,) if low.isalnum() else _WORD.findall(low):
+            for term, stem, i in self.by_head.get(w[: STEMS[0]], ()):
+                if w == term if not stem else (w.startswith(term) and w != term):
+                    ids += (i,)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+def style(text: str, words: Sequence[str], upper: int) -> list[float]:
     """Features of form: length, letter case, punctuation, repetition."""
-    n, m = len(words), max(1, len(text))
+    n = len(words)
     if not n:
         return [0.0] * STYLE
     counts = Counter(words)
     return [
-        np.log1p(n), sum(map(str.isupper, words)) / n, len(counts) / n, max(counts.values()) / n, (text.count("|") + text.count("#") + text.count("*")) / n,
-        text.count("!") / n, sum(map(len, words)) / n / 10, text.count("\n") / n, sum(map(str.isdigit, words)) / n,
+        np.log1p(n), upper / n, len(counts) / n, max(counts.values()) / n, (text.count("|") + text.count("#") + text.count("*")) / n,
+        text.count("!") / n, len(text) / n / 10, text.count("\n") / n,
     ]
 
 
@@ -54,9 +95,11 @@ class DomainModel:
         k, d = len(self.domains), STYLE + len(terms) + 1
         self.mean, self.scale, self.weights = np.zeros(STYLE), np.ones(STYLE), np.zeros((d, k))
 
-    def features(self, text: str, ids_of: TermIds) -> tuple[list[float], set[int]]:
-        words = _WORD.findall(text)
-        return style(text, words), {i for ids in filter(None, map(ids_of.__getitem__, map(str.lower, words))) for i in ids}
+    def features(self, text: str, ids_of: RawTermIds, sums: WordSums) -> tuple[list[float], set[int], int]:
+        """Style, terms, and the number of tokens."""
+        words = text.split()
+        upper, tokens = divmod(sum(map(sums.__getitem__, words)), _UPPER_ONE)
+        return style(text, words, upper), {i for ids in filter(None, map(ids_of.__getitem__, words)) for i in ids}, tokens
 
     def train(self, styles: np.ndarray, terms: Sequence[set[int]], y: np.ndarray, steps: int = 300, decay: float = 1e-3) -> None:
         self.mean, self.scale = styles.mean(0), styles.std(0) + 1e-6
@@ -95,14 +138,27 @@ def quality_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.select(F.col(f"`{id_col}`").alias("id"), F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("domain")).dropna()
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], sample: int = SAMPLE, terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
+_CACHES: dict[int, tuple[RawTermIds, WordSums]] = {}
+
+
+def caches(shared: tuple[DomainModel, tuple[str, ...]]) -> tuple[DomainModel, RawTermIds, WordSums]:
+    """The model with this worker's caches for it."""
+    model, pieces = shared
+    key = hash((tuple(model.vocabulary), pieces))
+    if key not in _CACHES:
+        _CACHES.clear()
+        _CACHES[key] = RawTermIds(model.vocabulary), WordSums(counter(pieces))
+    return model, *_CACHES[key]
+
+
+def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], pieces: tuple[str, ...], sample: int = SAMPLE, terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
     """Fits the classifier on at most ``sample`` labelled rows (by hash of the id) with their whole texts.
 
     The driver receives at most ``terms`` terms a domain and one sparse row for each row of the sample. With
     fewer than two domains among the labelled rows the posteriors are uniform."""
     names = list(domains)
     number = F.array_position(F.array(*[F.lit(d) for d in names]), F.col("domain")) - 1
-    chosen_ids = labelled.groupBy("id").agg(F.min("domain").alias("domain")).filter(F.col("domain").isin(names)).orderBy(F.xxhash64("id"), "id").limit(sample).select("id", number.cast("int").alias("y"))
+    chosen_ids = bounded_sample(labelled.groupBy("id").agg(F.min("domain").alias("domain")).filter(F.col("domain").isin(names)).select("id", number.cast("int").alias("y")), sample, "id")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     chosen = written(texts.join(F.broadcast(chosen_ids), "id").repartition(12, F.xxhash64("id", "text")), "labelled")  # at most ``sample`` ids
     total = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -131,11 +187,12 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], sa
     scored = written(counts.select("term", *[c.alias(f"s{y}") for y, c in enumerate(best)]).filter(F.greatest(*[F.col(f"s{y}") for y in range(k)], F.lit(0.0)) >= LEAST_CHI2), "domain-terms")
     picked = sorted({r["term"] for y in range(k) for r in scored.filter(F.col(f"s{y}") >= LEAST_CHI2).orderBy(F.desc(f"s{y}"), "term").limit(terms).collect()})
     model = DomainModel(names, picked)
+    shared = docs.sparkSession.sparkContext.broadcast((model, pieces))
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = TermIds(model.vocabulary)
+        own, ids_of, sums = caches(shared.value)
         for b in batches:
-            got = [model.features(t.as_py(), ids_of) for t in b.column("text")]
+            got = [own.features(t.as_py(), ids_of, sums) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([sorted(g[1]) for g in got], pa.list_(pa.int32()))], names=["id", "y", "style", "terms"])
 
     rows = sorted(chosen.mapInArrow(extract, f"id {dict(chosen.dtypes)['id']}, y int, style array<double>, terms array<int>").collect(), key=lambda r: (r["id"], r["style"]))
@@ -144,7 +201,6 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], sa
     return model
 
 
-_IDS: dict[int, TermIds] = {}
 
 
 def memberships(docs: DataFrame, model: DomainModel, pieces: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -152,19 +208,14 @@ def memberships(docs: DataFrame, model: DomainModel, pieces: tuple[str, ...], id
     shared = docs.sparkSession.sparkContext.broadcast((model, pieces))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vocabulary = shared.value
-        if (key := hash(tuple(own.vocabulary))) not in _IDS:
-            _IDS.clear()
-            _IDS[key] = TermIds(own.vocabulary)
-        size, ids_of = counter(vocabulary).__getitem__, _IDS[key]
+        own, ids_of, sums = caches(shared.value)
         for b in batches:
             tokens, styles, terms = [], [], []
             for t in b.column("text"):
-                text = t.as_py() or ""
-                tokens.append(sum(map(size, text.split())))
-                s, i = own.features(text, ids_of)
-                styles.append(s)
-                terms.append(i)
+                shape, ids, n = own.features(t.as_py() or "", ids_of, sums)
+                styles.append(shape)
+                terms.append(ids)
+                tokens.append(n)
             p = own.posteriors(np.array(styles).reshape(-1, STYLE), terms)
             columns = b.columns if carry else [b.column("id")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))], names=[*(b.schema.names if carry else ["id"]), "tokens", "p"])
@@ -253,7 +304,7 @@ def mix(docs: DataFrame, labelled: DataFrame, pieces: tuple[str, ...], targets:
     not read. Without labelled rows posteriors are uniform; an empty table gives an empty result. No
     shuffle but that of k by k sums."""
     targets = targets or TARGETS
-    model = fit_domains(docs, labelled, list(targets), id_col=id_col, text_col=text_col)
+    model = fit_domains(docs, labelled, list(targets), pieces, id_col=id_col, text_col=text_col)
     members = written(memberships(docs, model, pieces, id_col, text_col, carry), "memberships")
     steps, _ = fit_rates(members, list(targets.values()))
     out = rated(members, steps)

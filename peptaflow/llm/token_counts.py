@@ -18,6 +18,8 @@ from .common import table
 WORD_START = "▁"
 #: Words remembered by a Python worker before it starts over.
 CACHE_WORDS = 400_000
+#: Steps (node, character) remembered by an automaton.
+STEPS = 400_000
 
 
 class LongestMatch:
@@ -58,23 +60,31 @@ class LongestMatch:
                 nxt, n = 0, n + len(c.encode("utf-8", "surrogatepass"))
             fail[node], popped[node] = nxt, n
         self.go, self.fail, self.popped = go, fail, popped
+        # Tokens left when a text ends at a node: those popped on the way back to the root.
+        self.rest = [0] * len(go)
+        for node in sorted(range(1, len(go)), key=lambda x: depth[x]):
+            self.rest[node] = popped[node] + self.rest[fail[node]]
+        self.steps: list[dict[str, tuple[int, int]]] = [{} for _ in go]
+        self.room = STEPS
+
+    def _step(self, at: int, c: str) -> tuple[int, int]:
+        """Next node and tokens popped on the way, following failure links; remembered while there is room."""
+        start, n = at, 0
+        while at and c not in self.go[at]:
+            n, at = n + self.popped[at], self.fail[at]
+        nxt = self.go[at].get(c)
+        found = (0, n + len(c.encode("utf-8", "surrogatepass"))) if nxt is None else (nxt, n)
+        if self.room > 0:
+            self.room -= 1
+            self.steps[start][c] = found
+        return found
 
     def count(self, text: str) -> int:
-        go, fail, popped, at, n = self.go, self.fail, self.popped, 0, 0
+        steps, at, n = self.steps, 0, 0
         for c in text:
-            nxt = go[at].get(c)
-            while nxt is None and at:
-                n += popped[at]
-                at = fail[at]
-                nxt = go[at].get(c)
-            if nxt is None:
-                n += len(c.encode("utf-8", "surrogatepass"))
-            else:
-                at = nxt
-        while at:
-            n += popped[at]
-            at = fail[at]
-        return n
+            at, k = steps[at].get(c) or self._step(at, c)
+            n += k
+        return n + self.rest[at]
 
 
 class WordCounts(dict):

@@ -57,3 +57,15 @@ def test_empty_and_unlabelled(tiny, spark, pieces):
     none = spark.createDataFrame([], "id long, domain string")
     assert mix(tiny([(1, "x")]).limit(0), none, pieces).collect() == []
     assert mix(tiny([(1, "x y")]), none, pieces).first()["rate"] >= 0
+
+
+def test_terms_of_raw_words():
+    from peptaflow.llm.mixing import RawTermIds
+    from peptaflow.llm.toxicity import TermIds
+
+    vocabulary = {t: i for i, t in enumerate(["alp-", "alpha", "alph-", "be", "gam-", "gamm-", "gamma", "élan", "éla-", "12", "123-"])}
+    raw, plain = RawTermIds(vocabulary), TermIds(vocabulary)
+    for text in ["alpha", "Alpha,", "alphabet.", "be", "BE!!", "bee", "gamma-alpha", "gam", "ÉLAN", "élans", "12", "1234", "12-123", "", "--"]:
+        import re
+
+        assert set(raw[text]) == {i for w in re.findall(r"\w+", text.lower()) for i in plain[w]}, text
