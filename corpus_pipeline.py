@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peptaflow.llm import common, exact_dedup, mixing, packing, simhash, token_counts, toxicity
+from peptaflow.llm import common, exact_dedup, mixing, near_dedup, packing, token_counts, toxicity
 
 #: Scratch tables of finished stages go when the next stage begins: its input has been written by then.
 _HELD = {"before": 0}
@@ -32,9 +32,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
+    """Of each component of documents that share four fifths of their five-word shingles the one with the smallest id stays."""
     _begin()
-    gone = simhash.simhash_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = near_dedup.near_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -54,7 +54,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, *packing.load_ranks())
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("simhash", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 #: Nearest-neighbour scores, fitted rates and tokenizers are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
