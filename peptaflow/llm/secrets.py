@@ -28,6 +28,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Runs that the token-efficiency test looks at, and the ratio below which they are reported.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CHARS_PER_TOKEN = 2.0
+#: Parts of a run that are judged by themselves, and the length of windows of parts without separators.
+_EQUAL, _PART, WINDOW = re.compile(r"[A-Za-z0-9+/_-]{20,}"), re.compile(r"[A-Za-z0-9]{20,}"), 24
 #: Longest run that is judged as one string; longer runs are judged in pieces of this length.
 PIECE = 4096
 
@@ -39,11 +41,16 @@ _NAME = re.compile(r"[A-Za-z]{0,3}(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/=+-](?
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 
 
+def _whole(text: str) -> bool:
+    """A digest, UUID or subresource hash: no part of it is judged."""
+    return bool(_DIGEST.match(text) or _UUID.match(text) or _SUBRESOURCE.match(text))
+
+
 def known(text: str) -> bool:
     """A digest of a usual length, a UUID, a subresource hash, a number, or a name made of words and short numbers."""
-    if not _LETTER.search(text) or not _DIGIT.search(text):
+    if not _LETTER.search(text):
         return True
-    return bool(_DIGEST.match(text) or _UUID.match(text) or _SUBRESOURCE.match(text) or _NAME.match(text))
+    return bool(_DIGEST.match(text) or _UUID.match(text) or _SUBRESOURCE.match(text) or (_DIGIT.search(text) and _NAME.match(text)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -72,14 +79,48 @@ class Efficiency:
         return len(text) < least * n
 
 
+def _parts(start: int, run: str, judge: Efficiency) -> Iterator[tuple[int, int]]:
+    """Parts of a run that are random although the run is not: between separators, coarse ones first, and windows of long parts."""
+    covered = 0
+    for m in _EQUAL.finditer(run):
+        found = [m.span()] if m[0] != run and not known(m[0]) and judge.random(m[0]) else []
+        if not found and not _whole(m[0]):
+            for part in _PART.finditer(run, m.start(), m.end()):
+                text = part[0]
+                if _whole(text):
+                    continue
+                if len(text) < len(run) and not known(text) and judge.random(text):
+                    found.append(part.span())
+                else:
+                    found += _windows(part.start(), text, judge)
+        for s, e in found:
+            if e > covered:
+                yield start + max(s, covered), start + e
+                covered = e
+
+
+def _windows(start: int, text: str, judge: Efficiency) -> list[tuple[int, int]]:
+    """Random windows of a part without separators, joined where they overlap."""
+    out: list[tuple[int, int]] = []
+    if len(text) < 2 * WINDOW or text.isdigit():
+        return out
+    for i in range(0, len(text) - WINDOW + 1, WINDOW // 4):
+        if not known(text[i : i + WINDOW]) and judge.random(text[i : i + WINDOW]):
+            if out and start + i <= out[-1][1]:
+                out[-1] = (out[-1][0], start + i + WINDOW)
+            else:
+                out.append((start + i, start + i + WINDOW))
+    return out
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], judge: Efficiency) -> list[tuple[int, int, int]]:
-    """Spans that the token-efficiency test adds; those that touch a base span are left out."""
+    """Spans that the token-efficiency test adds: whole runs, else their random parts; those that touch a base span are left out."""
     out = []
     for m in CANDIDATE.finditer(text):
-        if known(m[0]) or any(s < m.end() and m.start() < e for s, _, e in taken):
+        if _whole(m[0]):
             continue
-        if judge.random(m[0]):
-            out.append((m.start(), 3, m.end()))
+        spans = [m.span()] if not known(m[0]) and judge.random(m[0]) else _parts(m.start(), m[0], judge)
+        out += [(s, 3, e) for s, e in spans if not any(x < e and s < y for x, _, y in taken)]
     return out
 
 

@@ -65,3 +65,19 @@ def test_rows(tiny, judge):
         assert r["base_sha256"] == digest
         assert [x for x in r["spans"].split(",") if x and not x.startswith("random")] == [f"{names[k]}:{s}:{e}" for s, k, e in found]
     assert secret_scan(tiny([(1, "x")]).limit(0), *packing.load_ranks()).collect() == []
+
+
+def test_keys_joined_to_words_and_keys_of_letters_are_found(judge):
+    rng = random.Random(5)
+    chars = string.ascii_letters + string.digits
+    for head in ("database_connection_string=", "https_proxy_authorization_header_value=", "-" * 60, "=" * 80, "some/long/path/of/words/", "the_name_of_a_thing_"):
+        found = 0
+        for _ in range(100):
+            key = "".join(rng.choices(chars, k=32))
+            text = f"see {head}{key} now"
+            found += any(s <= text.index(key) + 4 and e >= text.index(key) + 28 for s, _, e in random_spans(text, [], judge))
+        assert found >= 95, (head, found)
+    keys = ["".join(rng.choices(letters, k=32)) for letters in (string.ascii_letters, string.ascii_lowercase) for _ in range(50)]
+    assert sum(bool(random_spans(f"see {k} now", [], judge)) for k in keys) >= 95
+    words = ["internationalizationandlocalization", "thequickbrownfoxjumpsoverthelazydogandrunsaway", "a" * 60, "=" * 80, "-" * 60, "a_very_long_name_of_words/and/a/path/of/words/2024"]
+    assert [w for w in words if random_spans(f"see {w} now", [], judge)] == []
