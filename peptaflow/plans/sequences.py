@@ -114,4 +114,4 @@ def mark_changes(t: Tables) -> DataFrame:
 (CASE WHEN event_id >= 1296 THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', (event_id // 1296) % 36 + 1, 1) ELSE '' END) ||
 substr('0123456789abcdefghijklmnopqrstuvwxyz', (event_id // 36) % 36 + 1, 1) || substr('0123456789abcdefghijklmnopqrstuvwxyz', event_id % 36 + 1, 1) END)) AS code FROM events WHERE event_id < 1679616""")
 def base36_ordinal(t: Tables) -> DataFrame:
-    return t.events.filter("event_id < 1679616").select("event_id", F.lower(S.base36(F.col("event_id"))).alias("code"))
+    return t.events.select("event_id", F.lower(S.base36(F.col("event_id"))).alias("code"))

@@ -180,3 +180,12 @@ def test_ranking(spark):
     assert P.drop_sources(spark.createDataFrame([("SNV_D1",), ("SNV_R1",), ("FUS_R2",), ("SP_1",), (None,)], "Identity string")).count() == 2
     assert abs(P.with_tested_count(d).first()["ln_NumTested"] - 1.3862943611) < 1e-9
     assert P.tcr_pairs(spark.createDataFrame([("a",)], "x string"), spark.createDataFrame([("b",), ("c",)], "x string"), spark.createDataFrame([("P", "W", "M"), ("Q", "Q", "M")], "ET_pep string, WT_pep string, MHC string")).count() == 2
+
+
+def test_base36_of_ids_with_more_than_four_digits(spark, tmp_path):
+    from peptaflow.queries import QUERIES
+
+    ids = [0, 35, 36, 1295, 1296, 46656, 36**4 - 1, 36**4, 36**5 + 7, 10**12]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: r["code"] for r in QUERIES["base36_ordinal"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(ids) and all(int(code, 36) == i for i, code in got.items())
