@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .windows import midranks, running
 
 #: Effect sizes of the screening tables.
@@ -199,16 +201,42 @@ def impute_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(means[c])) for c in columns})
 
 
-def group_folds(df: DataFrame, group: str, folds: int, largest: int = 1_000_000) -> DataFrame:
+def _greedy(histogram: dict[int, int], folds: int) -> list[tuple[int, list[int]]]:
+    """(first rank, cycle of folds) of runs of groups in falling size, each group going to the fold that is smallest so far.
+
+    Within one size the folds that are smallest take turns, until their loads reach that of a further fold, which then joins them."""
+    load, out, rank = [0] * folds, [], 0
+    for n in sorted(histogram, reverse=True):
+        left, active = histogram[n], []
+        waiting = sorted(range(folds), key=lambda i: (load[i], i))
+        while left:
+            active.append(waiting.pop(0))
+            active.sort(key=lambda i: (load[i], i))
+            turns = left
+            if waiting:
+                f = waiting[0]
+                turns = min(left, sum(-(-(load[f] + (i < f) - load[i]) // n) for i in active))
+            if turns:
+                out.append((rank, list(active)))
+            for k, i in enumerate(active):
+                load[i] += n * len(range(k, turns, len(active)))
+            rank, left = rank + turns, left - turns
+    return out
+
+
+def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, n, fold): the largest groups first, each to the fold that is smallest so far.
 
-    The greedy order is kept on the driver for at most ``largest`` groups; smaller ones beyond that are dealt by hash."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    head = sizes.orderBy(F.desc("n"), group).limit(largest).toPandas()
-    load, fold = [0] * folds, []
-    for n in head["n"]:
-        at = min(range(folds), key=lambda i: (load[i], i))
-        load[at] += int(n)
-        fold.append(at)
-    picked = df.sparkSession.createDataFrame(head.assign(fold=pd.array(fold, dtype="int32"))) if len(head) else sizes.limit(0).withColumn("fold", F.lit(0))
-    return sizes.join(picked.select(F.col(group).alias("_g"), F.col("fold").alias("_f")), F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "n", F.coalesce("_f", F.pmod(F.xxhash64(group), F.lit(folds))).cast("int").alias("fold"))
+    The driver sees one row for each distinct size; groups are ranked by size in a distributed way."""
+    sizes = cut(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")))
+    runs = _greedy({r["n"]: r["many"] for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("many")).collect()}, folds)
+    shared = df.sparkSession.sparkContext.broadcast(([r[0] for r in runs], [r[1] for r in runs]))
+
+    def deal(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts, cycles = shared.value
+        for x in frames:
+            at = [bisect_right(starts, r) - 1 for r in x["rank"]]
+            yield x.assign(fold=[cycles[i][(r - starts[i]) % len(cycles[i])] for i, r in zip(at, x["rank"], strict=True)])[["rank", "fold"]]
+
+    ranked = cut(running(sizes, [F.desc("n"), group], {"rank": ("count", F.lit(1))}).withColumn("rank", F.col("rank") - 1))
+    return ranked.join(ranked.select("rank").mapInPandas(deal, "rank long, fold int").hint("merge"), "rank").select(group, "n", "fold")

@@ -97,6 +97,32 @@ def test_folds_keep_groups_together(spark):
     assert max(load) - min(load) <= 20
 
 
+def test_greedy_folds_need_no_list_of_groups():
+    rng = random.Random(6)
+    for _ in range(300):
+        folds, load, want = rng.randint(1, 6), [0] * 6, []
+        sizes = sorted((rng.choice([1, 2, 3, 7, 50, 400]) for _ in range(rng.randint(0, 120))), reverse=True)
+        for n in sizes:
+            at = min(range(folds), key=lambda i: (load[i], i))
+            load[at] += n
+            want.append(at)
+        runs = st._greedy({n: sizes.count(n) for n in sizes}, folds) + [(len(sizes), [])]
+        assert [cycle[(r - start) % len(cycle)] for (start, cycle), (end, _) in zip(runs, runs[1:], strict=False) for r in range(start, end)] == want
+    assert len(st._greedy({3: 10**12, 1: 10**12}, 5)) <= 10
+
+
+def test_folds_are_greedy_for_every_group(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(None if g == 3 else g,) for g in range(60) for _ in range(rng.choice([1, 1, 2, 5, 30]))], "g long")
+    rows = sorted(st.group_folds(df, "g", 3).collect(), key=lambda r: (-r["n"], r["g"] is not None, r["g"]))
+    load = [0] * 3
+    assert len(rows) == 60
+    for r in rows:
+        at = min(range(3), key=lambda i: (load[i], i))
+        load[at] += r["n"]
+        assert r["fold"] == at
+
+
 def test_encoding(spark):
     df = spark.createDataFrame([("a", 1), ("a", 0), ("a", 0), ("b", 1), ("b", 1), ("c", None)], "c string, y int")
     enc = {r["c"]: r["encoded"] for r in st.woe(df, "c", F.col("y")).collect()}
