@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, table, written
 
-#: Least normalised length of a single line that is linked on its own; whole passages have no least length.
+#: Least normalised length of a single line that names a source in another conversation; within a conversation, and for whole passages, there is none.
 LEAST_LINE = 12
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Java patterns (line feeds alone end a line); the SQL form below writes the same for its own library.
@@ -34,9 +34,10 @@ def unquoted(text: Column) -> Column:
 
 
 def _units(body: Column) -> Column:
-    """Normalised whole and, where there are several, lines of LEAST_LINE or more."""
-    lines = F.filter(F.transform(F.split(body, "\n"), norm), lambda x: F.length(x) >= LEAST_LINE)
-    return F.filter(F.array_distinct(F.concat(F.array(norm(body)), lines)), lambda x: x != "")
+    """(u, wide): normalised whole and, where there are several, lines; wide: the whole, or a line of LEAST_LINE or more."""
+    lines = F.transform(F.split(body, "\n"), norm)
+    whole = norm(body)
+    return F.transform(F.filter(F.array_distinct(F.concat(F.array(whole), lines)), lambda x: x != ""), lambda x: F.struct(x.alias("u"), ((x == whole) | (F.length(x) >= LEAST_LINE)).alias("wide")))
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -65,15 +66,15 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         plain = base.select("c", "t", "role", unquoted(F.col("text")).alias("text"))
         none = F.lit(None).cast("long")
         return _named(plain.withColumns({"thread": F.col("t"), "parent": none, "depth": F.lit(0), "n_quotes": F.lit(0).cast("long"), "sc": none, "st": none}), conv_col, turn_col, role_col, text_col)
-    asked = parts.select("c", "t", "level", F.explode(_units(F.col("body"))).alias("u")).select("c", "t", "level", F.length("u").alias("len"), F.sha2("u", 256).alias("h")).distinct()
-    own = keyed.select("c", "t", F.explode(_units(unquoted(F.col("text")))).alias("u")).select("c", "t", F.sha2("u", 256).alias("h"))
+    asked = parts.select("c", "t", "level", F.explode(_units(F.col("body"))).alias("x")).select("c", "t", "level", F.length("x.u").alias("len"), F.sha2("x.u", 256).alias("h"), "x.wide").groupBy("c", "t", "level", "len", "h").agg(F.max("wide").alias("wide"))
+    own = keyed.select("c", "t", F.explode(_units(unquoted(F.col("text")))).alias("x")).select("c", "t", F.sha2("x.u", 256).alias("h"), "x.wide")
     local = own.groupBy("c", "h").agg(F.min("t").alias("ot"))
-    first = own.groupBy("h").agg(F.min(F.struct("c", "t")).alias("o"))
+    first = own.filter("wide").groupBy("h").agg(F.min(F.struct("c", "t")).alias("o"))
     met = written(asked.join(local, ["c", "h"], "left").join(first, "h", "left"), "met")
     inside = F.col("ot") < F.col("t")
     linked = met.groupBy("c", "t").agg(
         F.min(F.when(inside, F.struct("level", (-F.col("len")).alias("l"), (-F.col("ot")).alias("o")))).alias("best"),
-        F.min(F.when(~F.coalesce(inside, F.lit(False)) & (F.col("o.c") != F.col("c")), F.struct("level", (-F.col("len")).alias("l"), F.col("o.c").alias("sc"), F.col("o.t").alias("st")))).alias("src"),
+        F.min(F.when(~F.coalesce(inside, F.lit(False)) & F.col("wide") & (F.col("o.c") != F.col("c")), F.struct("level", (-F.col("len")).alias("l"), F.col("o.c").alias("sc"), F.col("o.t").alias("st")))).alias("src"),
     )
     counts = parts.groupBy("c", "t").agg(F.count(F.lit(1)).alias("n_quotes"))
     info = written(counts.join(linked, ["c", "t"], "left").select("c", "t", "n_quotes", (-F.col("best.o")).alias("parent"), F.col("src.sc").alias("sc"), F.col("src.st").alias("st")), "quote-links")

@@ -59,3 +59,15 @@ def test_sql_agrees(spark):
     con.register("conversations", pdf)
     want = sorted((tuple(r) for r in con.execute(f"SELECT conv_id, turn, role, text, thread_turn, parent_turn, depth, n_quotes, source_conv, source_turn FROM ({ORACLE})").fetchall()), key=str)
     assert sorted((tuple(r) for r in link_quotes(messages(spark, rows)).collect()), key=str) == want
+
+
+def test_short_lines_link_within_a_conversation(spark):
+    rows = [
+        (1, 0, "user", "Shall I send it by mail?\nYes please\nor not at all, as you like."), (1, 1, "assistant", "> Yes please\nDone."),
+        (1, 2, "user", "One more thing\nto do\nnow\nand then we rest."), (1, 3, "assistant", "> to do\n> now\nAgreed."),
+        (2, 0, "user", "> Yes please\nTaken from elsewhere."),
+    ]
+    got = find(link_quotes(messages(spark, rows)))
+    assert (got[1, 1]["parent_turn"], got[1, 1]["thread_turn"], got[1, 1]["depth"]) == (0, 0, 1)
+    assert got[1, 3]["parent_turn"] == 2 and got[1, 1]["source_conv"] is None
+    assert got[2, 0]["parent_turn"] is None and got[2, 0]["source_conv"] is None
