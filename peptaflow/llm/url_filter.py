@@ -1,9 +1,10 @@
 """URL filtering by host rules, then by exact membership in a Bloom filter cascade.
 
-Level 1 encodes the listed keys; level 2 encodes level 1's false positives over the corpus's
-complete set of keys; level 3 encodes level 2's false positives among the listed keys, and so
-on until a level has none. A key of the corpus is listed or not according to the parity of the
-first level that lacks it, so membership is exact though only bit arrays are shipped.
+Level 1 encodes the listed names; every key of the corpus is tested against it, and only those that
+pass are looked up in the list. Level 2 encodes level 1's false positives over the corpus's complete
+set of keys; level 3 encodes level 2's false positives among the listed keys, and so on until a level
+has none. A key of the corpus is listed or not according to the parity of the first level that lacks
+it, so membership is exact though only bit arrays are shipped and no page is joined.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from .common import discard, table, written
 #: (verdict, host, path prefix). A rule fits its host and all subdomains; the longest fitting one wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Listed names of the registered query: these domains and all their subdomains.
-LISTED_NAMES = tuple(f"{n}.example.{t}" for n in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for t in ("com", "net", "org"))
+#: Labels of a listed name in the registered query.
+NAME_LABELS = 3
 
 #: Most bits of a cascade that are broadcast at once; larger cascades are split by key hash and applied in passes.
-BROADCAST_BITS = 1 << 29
+BROADCAST_BITS = 1 << 27
 #: After so many levels the few keys left (equal 128-bit hashes) are kept as an exact list.
 MAX_LEVELS = 48
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,10 +41,9 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """A host and its parent domains."""
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, i, F.size(parts))))
+def suffix(host: Column, labels: int) -> Column:
+    """The last ``labels`` labels of a host; the host itself if it has no more."""
+    return F.substring_index(host, ".", -labels)
 
 
 def _mixed(h1: np.ndarray, h2: np.ndarray, level: int, k: int, bits: int) -> np.ndarray:
@@ -100,33 +100,41 @@ def _level_bits(keys: DataFrame, level: int, bits: int, k: int) -> np.ndarray:
     return out
 
 
-def build_cascade(keys: DataFrame) -> Cascade:
-    """``keys``: (key string, h1, h2 long, listed boolean), each key once: the complete universe of one shard."""
-    n = {r["listed"]: r["n"] for r in keys.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
-    encode, test = keys.filter("listed"), keys.filter("NOT listed")
-    count, others, levels, temps = n.get(True, 0), n.get(False, 0), [], []
+def _passing(keys: DataFrame, level: int, bits: int, k: int, words: np.ndarray) -> DataFrame:
+    """The keys (key, h1, h2) whose bits of a level are all set, written."""
+    shared = keys.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pos = _mixed(_unsigned(b, "h1"), _unsigned(b, "h2"), level, k, bits)
+            hit = ((shared.value[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63))) & np.uint64(1)).astype(bool).all(0)
+            yield b.filter(pa.array(hit))
+
+    return written(keys.select("key", "h1", "h2").mapInArrow(run, "key string, h1 long, h2 long"), "cascade")
+
+
+def build_cascade(names: DataFrame, keys: DataFrame) -> Cascade:
+    """``names``: the list; ``keys``: the corpus's complete universe; both (key string, h1, h2 long), each key once."""
+    count, others, levels, temps = names.count(), keys.count(), [], []
+    encode, test = names, keys
     while count and len(levels) < MAX_LEVELS:
         p = min(0.5, max(math.sqrt(0.5) * count / max(others, 1), 2.0**-40)) if not levels else 0.5
         bits, k = max(64, math.ceil(-count * math.log(p) / math.log(2) ** 2)), max(1, round(-math.log2(p)))
         words = _level_bits(encode, len(levels), bits, k)
-        one = Cascade([(bits, k, words)])
-        only = len(levels)
         levels.append((bits, k, words))
-
-        def passing(batches, bits=bits, k=k, words=words, only=only):
-            for b in batches:
-                pos = _mixed(_unsigned(b, "h1"), _unsigned(b, "h2"), only, k, bits)
-                hit = ((words[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63))) & np.uint64(1)).astype(bool).all(0)
-                yield b.filter(pa.array(hit))
-
-        false = written(test.select("key", "h1", "h2").mapInArrow(passing, "key string, h1 long, h2 long"), "cascade")
+        false = _passing(test, len(levels) - 1, bits, k, words)
         temps.append(false)
-        encode, test, count, others = false, encode, false.count(), count
-        del one
+        if len(levels) == 1:  # the hits alone are looked up
+            met = false.join(names.select(F.col("key").alias("name")), F.col("key") == F.col("name"), "left").withColumn("on", F.col("name").isNotNull())
+            hits = written(met.select("key", "h1", "h2", "on"), "cascade-hits")
+            temps.append(hits)
+            encode, test = hits.filter("NOT on").drop("on"), hits.filter("on").drop("on")
+            count, others = encode.count(), test.count()
+        else:
+            encode, test, count, others = false, encode, false.count(), count
     leftovers = frozenset()
     if count:  # never seen: two keys of the universe share 128 bits of hash
-        last = encode if len(levels) % 2 == 0 else test
-        leftovers = frozenset(r["key"] for r in last.select("key").collect())
+        leftovers = frozenset(r["key"] for r in (encode if len(levels) % 2 == 0 else test).select("key").collect())
     discard(*temps)
     return Cascade(levels, leftovers)
 
@@ -136,55 +144,70 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
 
     ``listed``: one string column of names; a host is listed if it or a parent domain is among them.
     Null urls and urls without ``://`` have empty host and path; no rule fits them and the empty host is
-    not listed unless ``listed`` holds an empty name. Repeated pages are judged alike; nulls in ``listed``
-    are ignored; an empty list blocks nothing; an empty table gives an empty result; other columns are not read.
+    not listed unless ``listed`` holds an empty name. Repeated pages are judged alike; nulls and repeats in
+    ``listed`` are ignored; an empty list blocks nothing; an empty table gives an empty result; other columns
+    are not read. A very long host is read whole; only its last labels, as many as listed names have, are keys.
 
-    Scale: only distinct hosts are shuffled (a hot host is combined map-side). A cascade is broadcast when
-    its bits fit ``broadcast_bits``; else the keys are split by hash and one pass per shard is made.
+    Scale: a page is never joined; only distinct keys are shuffled (a hot host is combined map-side), and only
+    those that pass level 1 are looked up. A cascade is broadcast when its bits fit ``broadcast_bits``; else
+    the keys are split by hash and one pass over the judged pages is made per shard.
     """
     base = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url")).select("id", url_host(F.col("url")).alias("key"), url_path(F.col("url")).alias("path"))
-    hosts = base.select("key").distinct()
-    named = listed.select(F.col(listed.columns[0]).cast("string").alias("name")).filter("name IS NOT NULL").distinct()
-    hit = hosts.select("key", F.explode(suffixes(F.col("key"))).alias("name")).join(named, "name", "left_semi").select("key").distinct().withColumn("y", F.lit(True))
-    keys = written(hosts.join(hit, "key", "left").select("key", *_hashes(F.col("key")), F.coalesce("y", F.lit(False)).alias("listed")), "url-keys")
-    n_listed, n_all = keys.filter("listed").count(), keys.count()
-    worst = 3 * n_listed + n_listed * max(0.0, math.log2(max(n_all - n_listed, 1) / max(n_listed, 1))) * 1.45 + 1024
+    named = written(listed.select(F.col(listed.columns[0]).cast("string").alias("key")).filter("key IS NOT NULL").distinct().select("key", *_hashes(F.col("key"))), "url-names")
+    labels = sorted(r["n"] for r in named.select(F.size(F.split("key", r"\.")).alias("n")).distinct().collect())
+    own = [suffix(F.col("key"), n) for n in labels] or [F.col("key")]
+    keys = written(base.select("key").distinct().select(F.explode(F.array_distinct(F.array(*own))).alias("key")).distinct().select("key", *_hashes(F.col("key"))), "url-keys")
+    n_listed, n_all = named.count(), keys.count()
+    worst = 3 * n_listed + n_listed * max(0.0, math.log2(max(n_all, 1) / max(n_listed, 1))) * 1.45 + 1024
     shards = max(1, math.ceil(worst / broadcast_bits))
+    kind = dict(base.dtypes)["id"]
 
-    judged, of = None, lambda c, s: F.pmod(F.xxhash64(c, F.lit("shard")), F.lit(shards)) == s
+    judged, of = base.withColumn("listed", F.lit(False)), lambda df, s: df.filter(F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)) == s) if shards > 1 else df
     for s in range(shards):
-        cascade = base.sparkSession.sparkContext.broadcast(build_cascade(keys.filter(of(F.col("key"), s)) if shards > 1 else keys))
+        cascade = base.sparkSession.sparkContext.broadcast(build_cascade(of(named, s), of(keys, s)))
 
         def member(batches: Iterable[pa.RecordBatch], cascade=cascade) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                names = b.column("key")
-                on = cascade.value.listed(_unsigned(b, "h1"), _unsigned(b, "h2"), names.to_pylist() if cascade.value.leftovers else [])
-                yield pa.RecordBatch.from_arrays([b.column("id"), names, b.column("path"), pa.array(on)], names=["id", "key", "path", "listed"])
+                on = b.column("listed").to_numpy(zero_copy_only=False)
+                for i, n in enumerate(labels):
+                    names = [".".join(x.rsplit(".", n)[-n:]) for x in b.column("key").to_pylist()] if cascade.value.leftovers else []
+                    mine = cascade.value.listed(_unsigned(b, f"a{i}"), _unsigned(b, f"b{i}"), names)
+                    on = on | (mine & b.column(f"in{i}").to_numpy(zero_copy_only=False) if shards > 1 else mine)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), b.column("path"), pa.array(on)], names=["id", "key", "path", "listed"])
 
-        rows = base.filter(of(F.col("key"), s)) if shards > 1 else base
-        kind = dict(base.dtypes)["id"]
-        part = rows.select("id", "key", "path", *_hashes(F.col("key"))).mapInArrow(member, f"id {kind}, key string, path string, listed boolean")
-        judged = part if judged is None else judged.unionByName(part)
+        hashes = [c for i, x in enumerate(own) for c in (F.xxhash64(x).alias(f"a{i}"), F.xxhash64(x, F.lit("second")).alias(f"b{i}"), *([(F.pmod(F.xxhash64(x, F.lit("shard")), F.lit(shards)) == s).alias(f"in{i}")] if shards > 1 else []))]
+        new = judged.select("id", "key", "path", "listed", *hashes).mapInArrow(member, f"id {kind}, key string, path string, listed boolean")
+        judged = written(new, "judged") if s < shards - 1 else new
 
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     for what, host, prefix in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((F.col("key") == host) | F.col("key").endswith("." + host)) & F.col("path").startswith(prefix)
         rule, verdict = F.when(fits, F.lit(host + prefix)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
-    discard(keys)
+    discard(keys, named)
     return judged.select(F.col("id").alias(id_col), F.col("key").alias("host"), "path", rule.alias("rule"), verdict.alias("verdict"))
 
 
+def plain_names(pages: DataFrame, url_col: str = "url", labels: int = NAME_LABELS) -> DataFrame:
+    """Names (the last labels of hosts) of which more than half of the pages come without transport security: the list of the registered query."""
+    url = F.col(f"`{url_col}`").cast("string")
+    names = pages.select(suffix(url_host(url), labels).alias("name"), F.lower(url).startswith("http://").alias("plain")).filter("name <> ''")
+    return names.groupBy("name").agg(F.avg(F.col("plain").cast("int")).alias("share")).filter("share > 0.5").select("name")
+
+
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(n,) for n in LISTED_NAMES], "name string")
-    return url_filter(table(spark, sf_dir, "pages"), listed)
+    pages = table(spark, sf_dir, "pages")
+    return url_filter(pages, plain_names(pages))
 
 
 _FIT = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
 _LONGEST = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
 ORACLE = f"""
-WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), '{_UPPER}', '{_LOWER}') AS host,
-  coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages)
+WITH p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), '{_UPPER}', '{_LOWER}') AS host,
+  coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
+listed AS (SELECT array_to_string(string_split(host, '.')[-{NAME_LABELS}:], '.') AS name FROM p WHERE host <> ''
+  GROUP BY 1 HAVING avg(CASE WHEN starts_with(lower(url), 'http://') THEN 1.0 ELSE 0 END) > 0.5),
+h AS (SELECT host, bool_or(name IS NOT NULL) AS on_list FROM (SELECT DISTINCT host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p) x
+  LEFT JOIN listed ON name = array_to_string(string_split(host, '.')[-i:], '.') GROUP BY host)
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {_FIT.format(h=h, p=p)} THEN '{h}{p}'" for _, h, p in _LONGEST)} END AS rule,
-  CASE {" ".join(f"WHEN {_FIT.format(h=h, p=p)} THEN '{v}'" for v, h, p in _LONGEST)}
-       WHEN {" OR ".join(f"host = '{n}' OR ends_with(host, '.{n}')" for n in LISTED_NAMES)} THEN 'block' ELSE 'allow' END AS verdict
-FROM p"""
+  CASE {" ".join(f"WHEN {_FIT.format(h=h, p=p)} THEN '{v}'" for v, h, p in _LONGEST)} WHEN on_list THEN 'block' ELSE 'allow' END AS verdict
+FROM p JOIN h USING (host)"""

@@ -1,6 +1,6 @@
 import pytest
 
-from peptaflow.llm.url_filter import RULES, Cascade, build_cascade, url_filter
+from peptaflow.llm.url_filter import RULES, Cascade, build_cascade, plain_names, url_filter
 
 
 def judge(url, listed):
@@ -44,8 +44,24 @@ def test_cascade_is_exact_over_its_universe(spark):
     from peptaflow.llm.url_filter import _hashes, _unsigned
     from pyspark.sql import functions as F
 
-    keys = spark.range(4000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 5 == 0).alias("listed")).select("key", *_hashes(F.col("key")), "listed")
-    cascade = build_cascade(keys)
+    keys = spark.range(4000).select(F.col("id").cast("string").alias("key")).select("key", *_hashes(F.col("key")))
+    names = spark.range(0, 9000, 5).select(F.col("id").cast("string").alias("key")).select("key", *_hashes(F.col("key")))
+    cascade = build_cascade(names, keys)
     assert isinstance(cascade, Cascade) and len(cascade.levels) > 1
     t = keys.toArrow().combine_chunks().to_batches()[0]
-    assert cascade.listed(_unsigned(t, "h1"), _unsigned(t, "h2"), []).tolist() == t.column("listed").to_pylist()
+    assert cascade.listed(_unsigned(t, "h1"), _unsigned(t, "h2"), []).tolist() == [int(k) % 5 == 0 for k in t.column("key").to_pylist()]
+
+
+def test_long_hosts_and_deep_names(spark):
+    long = ".".join(["a"] * 20_000)
+    rows = [(1, f"http://{long}.bad.example.net/"), (2, f"http://{long}/"), (3, "http://example.net/"), (4, "http://x.y.z.deep.name.of.many.labels/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    names = spark.createDataFrame([("bad.example.net",), ("deep.name.of.many.labels",), ("a.a.a.a",)], "name string")
+    for bits in (1 << 29, 500):
+        assert {r["page_id"]: r["verdict"] for r in url_filter(pages, names, broadcast_bits=bits).collect()} == {1: "block", 2: "block", 3: "allow", 4: "block"}
+
+
+def test_list_of_the_query(spark):
+    rows = [(1, "http://a.b.example.com/"), (2, "HTTP://c.b.example.com/"), (3, "https://b.example.com/"), (4, "https://q.example.org/"), (5, "http://q.example.org/"), (6, None), (7, "nothing")]
+    got = plain_names(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert [r["name"] for r in got] == ["b.example.com"]
