@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings that the labelled sample shows to be associated with the
-label. Postings are grouped by blocks of examples with the greatest weight of each term in each
+Terms are words and word beginnings whose association with the label is significant in the
+labelled sample; fit and score read the same words, of any length. The cosine is exact over these
+terms. Postings are grouped by blocks of examples with the greatest weight of each term in each
 block, so a search opens blocks in order of their upper bound and stops when no unopened block
 can reach the k-th score. Neighbours vote with their cosine; an isotonic fit on leave-one-out
 votes calibrates the vote.
@@ -24,8 +25,8 @@ from .common import bounded_sample, discard, table, with_fields, written
 
 #: Labelled rows that the model is fitted on, at most (those with the smallest hashes of doc_id).
 SAMPLE = 8000
-#: Terms kept, at most; the least documents of a term; the least chi-square of its association with the label.
-TERMS, LEAST_DOCS, LEAST_CHI2 = 2048, 6, 30.0
+#: Least chi-square of a term's association with the label; every term that reaches it is kept, however many or rare.
+LEAST_CHI2 = 30.0
 NEIGHBOURS, BLOCK = 15, 64
 #: Lengths of word beginnings.
 STEMS = range(3, 9)
@@ -146,7 +147,7 @@ class ToxicityModel:
         return self.terms_of
 
     def score(self, text: str) -> tuple[float, str]:
-        """Calibrated score, and the nearest examples as doc_id:cosine."""
+        """Calibrated score, and all examples that voted as doc_id:cosine, nearest first."""
         counts: Counter[int] = Counter()
         for ids in filter(None, map(self.ready().__getitem__, _WORD.findall(text.lower()))):
             counts.update(ids)
@@ -158,7 +159,7 @@ class ToxicityModel:
                 self.cache.clear()
             ids, scores = self.index.search(self.vector(counts), self.k)
             p = float(np.interp(self.vote(ids, scores), *self.knots))
-            self.cache[key] = min(1.0, max(0.0, p)), ",".join(f"{self.doc_ids[i]}:{s:.4f}" for i, s in zip(ids[:3].tolist(), scores[:3].tolist(), strict=True))
+            self.cache[key] = min(1.0, max(0.0, p)), ",".join(f"{self.doc_ids[i]}:{s:.4f}" for i, s in zip(ids.tolist(), scores.tolist(), strict=True))
         return self.cache[key]
 
 
@@ -166,7 +167,7 @@ def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, toxic = Counter(), Counter()
     for b in batches:
         for t, y in zip(b.column("text"), b.column("y"), strict=True):
-            seen = {term for w in set(_WORD.findall((t.as_py() or "").lower())) if len(w) <= 64 for term in word_terms(w)}
+            seen = {term for w in set(_WORD.findall((t.as_py() or "").lower())) for term in word_terms(w)}
             n.update(seen)
             if y.as_py():
                 toxic.update(seen)
@@ -186,10 +187,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str =
     return written(texts.join(F.broadcast(chosen), "id").repartition(12, F.xxhash64("id", "text")), "labelled")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fits on a bounded sample of the labelled rows that are not held out. Only label and text are used.
 
-    The driver receives at most ``terms`` terms and ``sample`` sparse vectors over them. With repeated ids
+    The driver receives the significant terms and ``sample`` sparse vectors over them, all from ``sample`` texts
+    however large the corpus is; whole texts are read, however long. Null and empty texts are examples without
+    terms; rows whose id or label is null are not examples; without examples of both labels the score is the one
+    label's, or 0 without any; extra columns are not read. With repeated ids
     the first row by text is the example; a document is toxic if any label row of it says so."""
     chosen = labelled_sample(docs, labels, sample, id_col, text_col, label_col)
     total = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -197,11 +201,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     if not n_toxic or n_toxic == n_all:
         discard(chosen)
         return ToxicityModel([], [], [(0, 1, {})] if n_toxic else [])
-    stats = chosen.select("text", "y").mapInArrow(_count_terms, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).filter(F.col("n") >= LEAST_DOCS)
+    stats = chosen.select("text", "y").mapInArrow(_count_terms, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     spread = n * (n_all - n) * n_toxic * (n_all - n_toxic)
     chi2 = F.when(spread > 0, n_all * F.pow(k * n_all - n * n_toxic, F.lit(2.0)) / spread).otherwise(0.0)
-    found = stats.withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(terms).collect()
+    found = stats.withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").collect()
     names = [r["term"] for r in found]
     vocabulary = {t: i for i, t in enumerate(names)}
 
@@ -223,7 +227,8 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
     Null and empty texts, and texts without any term of the model, get the base rate of labelled texts
     without terms. Held-out rows are those whose crc32 of the id as text leaves no remainder by 5 (a null id
     is not held out). Rows and ids, repeated or null, are kept; other columns are not read; an empty table
-    gives an empty result. No shuffle; the broadcast model is bounded by the sample's parameters."""
+    gives an empty result. Equal cosines go to the smaller example number. Very long texts are counted whole,
+    in memory that grows with their distinct words of the vocabulary. No shuffle; the broadcast model is bounded by the sample's parameters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if carry else []))
 

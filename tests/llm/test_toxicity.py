@@ -71,3 +71,70 @@ def test_no_labels(tiny, spark):
     model = fit(tiny([(1, "x")]), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert isinstance(model, ToxicityModel)
     assert toxicity(tiny([(1, "x"), (2, None)]), model).filter("score <> 0").count() == 0
+
+
+def test_query_like_brute_force(tiny, spark):
+    """Vocabulary, weights, neighbours, votes, calibration and scores are recomputed from the texts."""
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    rng = random.Random(8)
+    long = "x" * 90 + "vile"  # a word over 64 characters is a term like others
+    docs, marks = [], {}
+    for i in range(420):
+        toxic = i % 5 == 1
+        words = rng.choices([f"w{j}" for j in range(60)], k=12) + (rng.choices(["scum", "scumbag", long], k=2) if toxic else [])
+        docs.append((i, " ".join(words)))
+        if i % 7:
+            marks[i] = int(toxic)
+    docs += [(1000, None), (1001, ""), (1002, "scum " * 500)]
+    labels = spark.createDataFrame([(i, 1, y) for i, y in marks.items()] + [(3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    df = tiny(docs)
+    got = {r["doc_id"]: r for r in toxicity(df, fit(df, labels)).collect()}
+
+    def terms(text):
+        return [t for w in re.findall(r"\w+", (text or "").lower()) for t in [w, *(w[:n] + "-" for n in range(3, 9) if n < len(w))]]
+
+    texts = dict(docs)
+    train = sorted(i for i in marks if zlib.crc32(str(i).encode()) % 5)
+    n, k = Counter(t for i in train for t in set(terms(texts[i]))), Counter(t for i in train if marks[i] for t in set(terms(texts[i])))
+    a, b = len(train), sum(marks[i] for i in train)
+    chi = {t: a * (k[t] * a - n[t] * b) ** 2 / (n[t] * (a - n[t]) * b * (a - b)) for t in n if n[t] < a}
+    vocabulary = {t for t, c in chi.items() if c >= 30}
+    assert long in vocabulary and "scum" in vocabulary
+
+    def vector(text):
+        v = {t: (1 + math.log(c)) * (math.log((1 + a) / (1 + n[t])) + 1) for t, c in Counter(t for t in terms(text) if t in vocabulary).items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {t: w / norm for t, w in v.items()}
+
+    vectors = {i: vector(texts[i]) for i in train}
+    bare = [i for i in train if not vectors[i]]
+    base = (sum(marks[i] for i in bare) + b / a) / (len(bare) + 1)
+
+    def nearest(v, leave=None):
+        dots = [(-round(sum(w * vectors[i].get(t, 0) for t, w in v.items()), 12), i) for i in train if i != leave]
+        return [(i, -s) for s, i in sorted(dots) if s < 0][:15]
+
+    def vote(hits):
+        return sum(s * marks[i] for i, s in hits) / sum(s for _, s in hits) if hits else base
+
+    votes = [(vote(nearest(vectors[i], i)), marks[i]) for i in train if vectors[i]]
+    levels = sorted({round(v, 9) for v, _ in votes})
+    pools = [[[x], [y for v, y in votes if round(v, 9) == x]] for x in levels]
+    i = 0
+    while i + 1 < len(pools):
+        if np.mean(pools[i][1]) >= np.mean(pools[i + 1][1]):
+            pools[i : i + 2] = [[pools[i][0] + pools[i + 1][0], pools[i][1] + pools[i + 1][1]]]
+            i = max(0, i - 1)
+        else:
+            i += 1
+    xs, ys = [x for p in pools for x in p[0]], [np.mean(p[1]) for p in pools for _ in p[0]]
+    for i, text in docs:
+        v = vector(text)
+        want = float(np.interp(vote(nearest(v)), xs, ys)) if v else base
+        assert abs(got[i]["score"] - want) < 1e-6, (i, got[i]["score"], want)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert got[i]["evidence"] == (",".join(f"{j}:{s:.4f}" for j, s in nearest(v)) if v else "")
