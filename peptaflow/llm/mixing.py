@@ -22,8 +22,8 @@ from .common import bounded_sample, discard, table, with_fields, written
 from .token_counts import WORD_START, WordCounts, counter, load_pieces
 from .toxicity import _WORD, STEMS, TermIds, word_terms
 
-#: Labelled rows that the classifier is fitted on, at most; terms kept for each domain, at most; least documents of a term.
-SAMPLE, TERMS, LEAST_DOCS, LEAST_CHI2 = 6000, 256, 8, 30.0
+#: Labelled rows that the classifier is fitted on, at most; least chi-square of a term with a domain (every term that reaches it is kept).
+SAMPLE, LEAST_CHI2 = 6000, 30.0
 #: Share of all tokens that each domain is to have after mixing.
 TARGETS = {"clean": 0.87, "low": 0.08, "toxic": 0.05}
 #: The same for the pipeline, whose first stage has removed toxic documents.
@@ -102,20 +102,39 @@ class DomainModel:
         return style(text, words, upper), {i for ids in filter(None, map(ids_of.__getitem__, words)) for i in ids}, tokens
 
     def train(self, styles: np.ndarray, terms: Sequence[set[int]], y: np.ndarray, steps: int = 300, decay: float = 1e-3) -> None:
+        """Accelerated gradient; terms are held sparse, so memory grows with their occurrences."""
         self.mean, self.scale = styles.mean(0), styles.std(0) + 1e-6
-        x = np.zeros((len(y), self.weights.shape[0]))
-        x[:, :STYLE] = np.clip((styles - self.mean) / self.scale, -5, 5)
-        for i, t in enumerate(terms):
-            x[i, [STYLE + j for j in t]] = 1
-        x[:, -1] = 1
+        dense = np.hstack([np.clip((styles - self.mean) / self.scale, -5, 5), np.ones((len(y), 1))])
+        row = np.repeat(np.arange(len(y)), [len(t) for t in terms])
+        col = np.fromiter((j for t in terms for j in sorted(t)), np.int64, len(row))
+        n, d, ends = len(y), len(self.vocabulary), [*range(STYLE), -1]
+
+        def times(v: np.ndarray) -> np.ndarray:
+            z = dense @ v[ends]
+            for c in range(v.shape[1]):
+                z[:, c] += np.bincount(row, v[STYLE + col, c], n)
+            return z
+
+        def back(r: np.ndarray) -> np.ndarray:
+            g = np.zeros((STYLE + d + 1, r.shape[1]))
+            g[ends] = dense.T @ r
+            for c in range(r.shape[1] if d else 0):
+                g[STYLE:-1, c] = np.bincount(col, r[row, c], d)
+            return g
+
+        probe = np.ones((STYLE + d + 1, 1))
+        for _ in range(30):  # largest singular value
+            probe = back(times(probe))
+            top = float(np.linalg.norm(probe))
+            probe /= top
         hot = np.eye(len(self.domains))[y]
         w = v = self.weights
-        rate = len(y) / (0.5 * np.linalg.norm(x, 2) ** 2 + len(y) * decay)
+        rate = n / (0.55 * top + n * decay)
         for s in range(steps):
-            z = x @ v
+            z = times(v)
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            new = v - rate * (x.T @ (p - hot) / len(y) + decay * v)
+            new = v - rate * (back(p - hot) / n + decay * v)
             w, v = new, new + s / (s + 3) * (new - w)
         self.weights = w
 
@@ -151,10 +170,12 @@ def caches(shared: tuple[DomainModel, tuple[str, ...]]) -> tuple[DomainModel, Ra
     return model, *_CACHES[key]
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], pieces: tuple[str, ...], sample: int = SAMPLE, terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
+def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], pieces: tuple[str, ...], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
     """Fits the classifier on at most ``sample`` labelled rows (by hash of the id) with their whole texts.
 
-    The driver receives at most ``terms`` terms a domain and one sparse row for each row of the sample. With
+    The driver receives the significant terms and one sparse row for each row of the sample, all from ``sample``
+    texts however large the corpus is. Rows with a null id or domain are not used; an id with several domains
+    counts with the first of them by name; null texts count as empty, long ones are read whole. With
     fewer than two domains among the labelled rows the posteriors are uniform."""
     names = list(domains)
     number = F.array_position(F.array(*[F.lit(d) for d in names]), F.col("domain")) - 1
@@ -171,21 +192,21 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], pi
         seen: list[Counter[str]] = [Counter() for _ in range(k)]
         for b in batches:
             for t, y in zip(b.column("text"), b.column("y"), strict=True):
-                seen[y.as_py()].update({term for w in set(_WORD.findall(t.as_py().lower())) if len(w) <= 64 for term in word_terms(w)})
+                seen[y.as_py()].update({term for w in set(_WORD.findall(t.as_py().lower())) for term in word_terms(w)})
         for y, c in enumerate(seen):
             found = list(c)
             for i in range(0, len(found), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 20_000], pa.string()), pa.array([y] * len(found[i : i + 20_000]), pa.int32()), pa.array([c[t] for t in found[i : i + 20_000]], pa.int64())], names=["term", "y", "n"])
 
     n_all = sum(total.values())
-    counts = chosen.select("text", "y").mapInArrow(count, "term string, y int, n long").groupBy("term").agg(F.sum("n").cast("double").alias("n"), *[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).cast("double").alias(f"k{y}") for y in range(k)]).filter(F.col("n") >= LEAST_DOCS)
+    counts = chosen.select("text", "y").mapInArrow(count, "term string, y int, n long").groupBy("term").agg(F.sum("n").cast("double").alias("n"), *[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).cast("double").alias(f"k{y}") for y in range(k)])
     best = []
     for y in range(k):
         n, hit, ny = F.col("n"), F.col(f"k{y}"), total.get(y, 0)
         spread = n * (n_all - n) * ny * (n_all - ny)
         best.append(F.when(spread > 0, n_all * F.pow(hit * n_all - n * ny, F.lit(2.0)) / spread).otherwise(0.0))
     scored = written(counts.select("term", *[c.alias(f"s{y}") for y, c in enumerate(best)]).filter(F.greatest(*[F.col(f"s{y}") for y in range(k)], F.lit(0.0)) >= LEAST_CHI2), "domain-terms")
-    picked = sorted({r["term"] for y in range(k) for r in scored.filter(F.col(f"s{y}") >= LEAST_CHI2).orderBy(F.desc(f"s{y}"), "term").limit(terms).collect()})
+    picked = sorted(r["term"] for r in scored.select("term").collect())
     model = DomainModel(names, picked)
     shared = docs.sparkSession.sparkContext.broadcast((model, pieces))
 
@@ -201,8 +222,6 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], pi
     return model
 
 
-
-
 def memberships(docs: DataFrame, model: DomainModel, pieces: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(id, tokens, p array) for every row; with ``carry`` also text and ``rest``, a struct of the other columns."""
     shared = docs.sparkSession.sparkContext.broadcast((model, pieces))
@@ -297,18 +316,22 @@ def rated(members: DataFrame, steps: np.ndarray) -> DataFrame:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, pieces: tuple[str, ...], targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """One row per input row: id, tokens, p_<domain>..., rate, copies; with ``carry`` also ``row``, a struct of all input columns.
+    """One row per input row: id, tokens, p_<domain>..., rate, copies, target_gap; with ``carry`` also ``row``, a struct of all input columns.
 
     ``labelled``: (id, domain). Null and empty texts have no tokens and take the rate of their posteriors.
     Rows and ids, repeated or null, are kept; rows that share an id share the rounding; other columns are
-    not read. Without labelled rows posteriors are uniform; an empty table gives an empty result. No
-    shuffle but that of k by k sums."""
+    not read. Without labelled rows posteriors are uniform; an empty table gives an empty result. Very long
+    texts are counted whole. ``target_gap``, the same in every row, is the largest difference between a
+    domain's share of the rated tokens and its target: above TOLERANCE, the posteriors do not allow the
+    targets. No shuffle but that of k by k sums."""
     targets = targets or TARGETS
     model = fit_domains(docs, labelled, list(targets), pieces, id_col=id_col, text_col=text_col)
     members = written(memberships(docs, model, pieces, id_col, text_col, carry), "memberships")
-    steps, _ = fit_rates(members, list(targets.values()))
+    steps, trace = fit_rates(members, list(targets.values()))
+    reached = np.array(trace[-1]["tokens"])
+    gap = float(np.abs(reached / reached.sum() - np.array(list(targets.values())) / sum(targets.values())).max()) if reached.sum() else 0.0
     out = rated(members, steps)
-    cols = [F.col("id").alias(id_col), "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(targets)], "rate", "copies"]
+    cols = [F.col("id").alias(id_col), "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(targets)], "rate", "copies", F.lit(gap).alias("target_gap")]
     if carry:
         cols.append(F.struct(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]).alias("row"))
     return out.select(*cols)

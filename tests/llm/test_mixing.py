@@ -69,3 +69,84 @@ def test_terms_of_raw_words():
         import re
 
         assert set(raw[text]) == {i for w in re.findall(r"\w+", text.lower()) for i in plain[w]}, text
+
+
+def test_posteriors_and_tokens_like_brute_force(tiny, spark, pieces):
+    """Terms, softmax fit, posteriors, tokens and the reported gap are recomputed from the texts."""
+    import re
+    from collections import Counter
+
+    from peptaflow.llm.mixing import fit_domains, memberships
+
+    rng = random.Random(6)
+    long = "q" * 80
+    docs, labels = [], {}
+    for i in range(300):
+        low = i % 4 == 0
+        words = rng.choices([f"Word{k}" for k in range(30)], k=20) + (rng.choices(["junk!", long, "JUNKYARD"], k=3) if low else rng.choices(["fine", "finely"], k=2))
+        docs.append((i, " ".join(words) + "\n"))
+        if i % 3:
+            labels[i] = "low" if low else "clean"
+    docs += [(900, None), (901, ""), (902, "junk " * 3000)]
+    df = tiny(docs)
+    domains = ["clean", "low"]
+    model = fit_domains(df, spark.createDataFrame(list(labels.items()) + [(5, None), (None, "low")], "id long, domain string"), domains, pieces)
+    got = {r["id"]: r for r in memberships(df, model, pieces).collect()}
+
+    def terms(text):
+        return {t for w in re.findall(r"\w+", (text or "").lower()) for t in [w, *(w[:n] + "-" for n in range(3, 9) if n < len(w))]}
+
+    texts, n, k = dict(docs), Counter(), {d: Counter() for d in domains}
+    for i, d in labels.items():
+        n.update(terms(texts[i]))
+        k[d].update(terms(texts[i]))
+    a = len(labels)
+    size = Counter(labels.values())
+    chi = lambda t, d: a * (k[d][t] * a - n[t] * size[d]) ** 2 / (n[t] * (a - n[t]) * size[d] * (a - size[d])) if n[t] < a else 0
+    vocabulary = sorted(t for t in n if any(chi(t, d) >= 30 for d in domains))
+    assert vocabulary == sorted(model.vocabulary) and long in vocabulary
+
+    def form(text):
+        words = (text or "").split()
+        c, m = Counter(words), len(words)
+        if not m:
+            return [0.0] * 8
+        marks = sum(text.count(x) for x in "|#*")
+        return [np.log1p(m), sum(w.isupper() for w in words) / m, len(c) / m, max(c.values()) / m, marks / m, text.count("!") / m, len(text) / m / 10, text.count("\n") / m]
+
+    ids = sorted(labels)
+    shape = np.array([form(texts[i]) for i in ids])
+    mean, scale = shape.mean(0), shape.std(0) + 1e-6
+    x = lambda i: np.concatenate([np.clip((np.array(form(texts[i])) - mean) / scale, -5, 5), [float(t in terms(texts[i])) for t in vocabulary], [1.0]])
+    rows, hot = np.array([x(i) for i in ids]), np.eye(2)[[domains.index(labels[i]) for i in ids]]
+
+    def loss(w):
+        z = rows @ w
+        z -= z.max(1, keepdims=True)
+        return float(-(hot * (z - np.log(np.exp(z).sum(1, keepdims=True)))).sum() / len(rows) + 0.0005 * (w**2).sum())
+
+    w = np.zeros((rows.shape[1], 2))
+    for _ in range(4000):  # plain descent to the same optimum
+        z = rows @ w
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        w -= 0.15 * (rows.T @ (p - hot) / len(rows) + 0.001 * w)
+    assert loss(model.weights) <= loss(w) + 1e-3
+    known, longest = set(pieces), max(map(len, pieces))
+
+    def slow_count(text):
+        n = 0
+        while text:
+            size = next((m for m in range(min(len(text), longest), 0, -1) if text[:m] in known), 0)
+            n += 1 if size else len(text[0].encode())
+            text = text[size or 1 :]
+        return n
+
+    for i, text in docs:
+        z = x(i) @ model.weights
+        p = np.exp(z - z.max())
+        assert np.allclose(got[i]["p"], p / p.sum(), atol=1e-9)
+        assert got[i]["tokens"] == sum(slow_count("\u2581" + word) for word in (text or "").split())
+    out = mix(df, spark.createDataFrame(list(labels.items()), "id long, domain string"), pieces, {"clean": 0.6, "low": 0.4}).collect()
+    reached = np.array([[r["tokens"] * r["rate"] * r["p_clean"], r["tokens"] * r["rate"] * r["p_low"]] for r in out]).sum(0)
+    assert all(abs(r["target_gap"] - np.abs(reached / reached.sum() - [0.6, 0.4]).max()) < 1e-9 for r in out) and out[0]["target_gap"] <= 2e-3
