@@ -26,12 +26,10 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 
 #: Runs that the token-efficiency test looks at, and the ratio below which they are reported.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE, LEAST_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20
 CHARS_PER_TOKEN = 2.0
 #: Parts of a run that are judged by themselves, and the length of windows of parts without separators.
 _EQUAL, _PART, WINDOW = re.compile(r"[A-Za-z0-9+/_-]{20,}"), re.compile(r"[A-Za-z0-9]{20,}"), 24
-#: Longest run that is judged as one string; longer runs are judged in pieces of this length.
-PIECE = 4096
 
 #: Known digests and identifiers, never reported by the test.
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})\Z")
@@ -75,8 +73,7 @@ class Efficiency:
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def random(self, text: str, least: float = CHARS_PER_TOKEN) -> bool:
-        n = sum(len(self.encoding.encode_ordinary(text[i : i + PIECE])) for i in range(0, len(text), PIECE))
-        return len(text) < least * n
+        return len(text) < least * len(self.encoding.encode_ordinary(text))
 
 
 def _parts(start: int, run: str, judge: Efficiency) -> Iterator[tuple[int, int]]:
@@ -113,14 +110,34 @@ def _windows(start: int, text: str, judge: Efficiency) -> list[tuple[int, int]]:
     return out
 
 
+def _free(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of a range that the sorted spans leave; long enough to be judged. Spans that end before the range are dropped from the list's end."""
+    while taken and taken[-1][1] <= start:
+        taken.pop()
+    held = []
+    while taken and taken[-1][0] < end:
+        s, e = taken.pop()
+        if s - start >= LEAST_RUN:
+            yield start, s
+        start = max(start, e)
+        if e > end:  # it may reach the next range
+            held.append((s, e))
+    taken.extend(held)
+    if end - start >= LEAST_RUN:
+        yield start, end
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], judge: Efficiency) -> list[tuple[int, int, int]]:
-    """Spans that the token-efficiency test adds: whole runs, else their random parts; those that touch a base span are left out."""
-    out = []
+    """Spans that the token-efficiency test adds: whole runs, else their random parts. A run that touches a base span is judged where that leaves it."""
+    out, todo = [], sorted(((s, e) for s, _, e in taken), reverse=True)
     for m in CANDIDATE.finditer(text):
         if _whole(m[0]):
             continue
-        spans = [m.span()] if not known(m[0]) and judge.random(m[0]) else _parts(m.start(), m[0], judge)
-        out += [(s, 3, e) for s, e in spans if not any(x < e and s < y for x, _, y in taken)]
+        for start, end in _free(*m.span(), todo):
+            part = text[start:end]
+            if _whole(part):
+                continue
+            out += [(s, 3, e) for s, e in ([(start, end)] if not known(part) and judge.random(part) else _parts(start, part, judge))]
     return out
 
 
@@ -136,7 +153,8 @@ def secret_scan(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_
 
     ``ranks``: contents of a tiktoken rank file; ``pattern``: its splitting pattern. Null and empty texts
     have no spans. Rows and ids, repeated or null, are kept as they are; other columns are not read; an
-    empty table gives an empty result. Offsets are code points, ends exclusive. No shuffle."""
+    empty table gives an empty result. Offsets are code points, ends exclusive. Very long texts and runs are
+    judged whole, in time that grows with their length. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ def test_base_spans_on_random_text():
 
 @pytest.fixture(scope="module")
 def judge():
-    return Efficiency(*packing.load_ranks())
+    return Efficiency(*packing.load_ranks()[:2])
 
 
 def test_random_strings_are_found_and_known_ones_are_not(judge):
@@ -56,7 +56,7 @@ def test_random_strings_are_found_and_known_ones_are_not(judge):
 
 def test_rows(tiny, judge):
     rows = [*enumerate(TEXTS), (3, TEXTS[3]), (None, "token=abcdefghijklmnop")]
-    for r in secret_scan(tiny(rows), *packing.load_ranks()).collect():
+    for r in secret_scan(tiny(rows), *packing.load_ranks()[:2]).collect():
         texts = [t for i, t in rows if i == r["doc_id"]]
         found = slow_base(texts[0] or "")
         names = ["assign", "access", "hex"]
@@ -64,7 +64,7 @@ def test_rows(tiny, judge):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == j for _, k, _ in found) for j in range(3))
         assert r["base_sha256"] == digest
         assert [x for x in r["spans"].split(",") if x and not x.startswith("random")] == [f"{names[k]}:{s}:{e}" for s, k, e in found]
-    assert secret_scan(tiny([(1, "x")]).limit(0), *packing.load_ranks()).collect() == []
+    assert secret_scan(tiny([(1, "x")]).limit(0), *packing.load_ranks()[:2]).collect() == []
 
 
 def test_keys_joined_to_words_and_keys_of_letters_are_found(judge):
@@ -81,3 +81,80 @@ def test_keys_joined_to_words_and_keys_of_letters_are_found(judge):
     assert sum(bool(random_spans(f"see {k} now", [], judge)) for k in keys) >= 95
     words = ["internationalizationandlocalization", "thequickbrownfoxjumpsoverthelazydogandrunsaway", "a" * 60, "=" * 80, "-" * 60, "a_very_long_name_of_words/and/a/path/of/words/2024"]
     assert [w for w in words if random_spans(f"see {w} now", [], judge)] == []
+
+
+def test_long_runs_are_judged_whole_and_runs_at_base_spans_where_they_are_free(judge):
+    rng = random.Random(9)
+    chars = string.ascii_letters + string.digits
+    for n in (4096, 4097, 20_000):
+        key = "".join(rng.choices(chars, k=n))
+        assert random_spans(f"see {key} now", [], judge) == [(4, 3, 4 + n)]
+    key = "".join(rng.choices(string.ascii_uppercase + string.ascii_lowercase, k=40))
+    text = f"see {key}/token=abcdefghijklmnop now"
+    found = base_spans(text)
+    assert [k for _, k, _ in found] == [0]
+    added = random_spans(text, found, judge)
+    assert added and added[0][0] == 4 and all(e <= found[0][0] for _, _, e in added)
+    many = " ".join(f"token=abcdefghijkl{key}" for _ in range(20_000))  # linear in the number of base spans
+    assert random_spans(many, base_spans(many), judge) == []
+
+
+def test_random_spans_like_brute_force(judge):
+    """Runs, parts and windows are found again by a plain reading of the rules."""
+    rng = random.Random(10)
+    ratio = lambda t: len(t) < 2.0 * len(judge.encoding.encode_ordinary(t))
+    digest = lambda t: bool(re.fullmatch(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|sha(?:256|384|512)-[A-Za-z0-9+/]+={0,2}", t))
+
+    def hit(t):
+        return len(t) >= 20 and not known(t) and ratio(t)
+
+    def slow(text, taken):
+        out = []
+        for run in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            if digest(run[0]):
+                continue
+            covered = {i for x, _, y in taken for i in range(max(x, run.start()), min(y, run.end()))}
+            free, at = [], run.start()
+            for i in range(run.start(), run.end() + 1):
+                if i in covered or i == run.end():
+                    free.append((at, i))
+                    at = i + 1
+            for s, e in free:
+                part = text[s:e]
+                if e - s < 20 or digest(part):
+                    continue
+                if hit(part):
+                    out.append((s, 3, e))
+                    continue
+                done = s
+                for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", part):
+                    spans = [m.span()] if m[0] != part and hit(m[0]) else []
+                    if not spans and not digest(m[0]):
+                        for w in re.finditer(r"[A-Za-z0-9]{20,}", part):
+                            if w.start() < m.start() or w.end() > m.end() or digest(w[0]):
+                                continue
+                            if w[0] != part and hit(w[0]):
+                                spans.append(w.span())
+                            elif len(w[0]) >= 48 and not w[0].isdigit():
+                                marked = set()
+                                for i in range(0, len(w[0]) - 23, 6):
+                                    if hit(w[0][i : i + 24]):
+                                        marked |= set(range(w.start() + i, w.start() + i + 24))
+                                        marked |= {w.start() + i + 23.5} if i + 30 <= len(w[0]) and hit(w[0][i + 6 : i + 30]) else set()
+                                runs, last = [], None
+                                for i in sorted(x for x in marked if x == int(x)):
+                                    if last is None or i > last + 1:
+                                        runs.append([i, i + 1])
+                                    runs[-1][1], last = i + 1, i
+                                spans += [tuple(r) for r in runs]
+                    for x, y in spans:
+                        if s + y > done:
+                            out.append((max(s + x, done), 3, s + y))
+                            done = s + y
+        return out
+
+    bits = ["password=", "hello", "international", "-", "_", "/", "=", " ", "AKIA", "0123456789abcdef", "2024", "the", "Quick"]
+    for _ in range(300):
+        text = "".join(rng.choice([*bits, "".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(5, 60)))]) for _ in range(rng.randint(1, 12)))
+        taken = base_spans(text)
+        assert random_spans(text, taken, judge) == slow(text, taken), text
