@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,10 +34,12 @@ _RUN = re.compile(r" \s")
 class ChunkIds(dict):
     """Word -> ids (little-endian unsigned 32-bit) of the word after one space."""
 
-    def __init__(self, ranks: bytes, pattern: str, most: int = CACHE_CHUNKS):
+    def __init__(self, ranks: bytes, pattern: str, special: tuple[tuple[str, int], ...] = (), most: int = CACHE_CHUNKS):
         import tiktoken
 
         super().__init__()
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in special}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if special else None
         byte_ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=byte_ranks, special_tokens={}).encode_ordinary
         self.most = most
@@ -53,7 +56,13 @@ class ChunkIds(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        """Ids of a text. A token never holds both a space and what stands before it, unless that is white
+        """Ids of a text; strings of special tokens become those tokens, and the text between them is encoded by itself."""
+        if self.marks and any(t in text for t in self.special):
+            return b"".join(self.special.get(part) or self.plain(part) for part in self.marks.split(text) if part)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens. A token never holds both a space and what stands before it, unless that is white
         space too, so a text is split at its spaces; texts with runs of spaces are encoded whole."""
         if _RUN.search(text) or (text.endswith(" ") and text[-2:-1].isspace()):
             return self.whole(text)
@@ -108,9 +117,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
     return out, n_seq
 
 
-def pieces(docs: DataFrame, ranks: bytes, pattern: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, ranks: bytes, pattern: str, special: tuple[tuple[str, int], ...] = (), capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenised pieces (id, piece, start, length, ids_crc32) with the task that made them and their rank within task and length."""
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, special))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (key := hash(shared.value)) not in _IDS:
@@ -140,15 +149,16 @@ def pieces(docs: DataFrame, ranks: bytes, pattern: str, capacity: int = CAPACITY
     return base.mapInArrow(cut, f"id {dict(base.dtypes)['id']}, piece int, start long, length long, ids_crc32 long, task int, rank_in_task long")
 
 
-def pack(docs: DataFrame, ranks: bytes, pattern: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, ranks: bytes, pattern: str, special: tuple[tuple[str, int], ...] = (), capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text counts as empty: a document of the end id alone. Each input row is packed, repeated ids and
-    rows too; other columns are not read; an empty table gives an empty result.
+    rows too; other columns are not read; an empty table gives an empty result. ``special``: strings that are tokens
+    of their own, with their ids. A very long text is tokenised whole and cut into pieces.
 
     Scale: tokenised pieces are written once; the driver sees at most ``capacity`` counts. Ranks come from
     counts per (length, task), so a hot length is never gathered or sorted. The plan's size has a fixed bound."""
-    made = written(pieces(docs, ranks, pattern, capacity, id_col, text_col), "pieces")
+    made = written(pieces(docs, ranks, pattern, special, capacity, id_col, text_col), "pieces")
     counts = written(made.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots, _ = plan(histogram, capacity)
@@ -169,12 +179,14 @@ def pack(docs: DataFrame, ranks: bytes, pattern: str, capacity: int = CAPACITY,
     return ready.mapInArrow(place, f"id {dict(made.dtypes)['id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)
 
 
-def load_ranks(path: str | None = None) -> tuple[bytes, str]:
-    """A tiktoken rank file (the same vocabulary as the tokenizers file ``byte_bpe_50k.json``) and its pattern."""
+def load_ranks(path: str | None = None, tokenizer: str | None = None) -> tuple[bytes, str, tuple[tuple[str, int], ...]]:
+    """A tiktoken rank file with the vocabulary of a tokenizers file, its pattern, and that file's special tokens."""
     import public_tokenizers
 
+    with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        special = tuple((t["content"], t["id"]) for t in json.load(f)["added_tokens"])
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        return f.read(), public_tokenizers.PATTERN
+        return f.read(), public_tokenizers.PATTERN, special
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,9 +21,7 @@ def reference():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 TEXT = st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x1c\u00a0\u3000'sdlmtrevABé1²½漢🙂_!?<|>"), st.characters(exclude_categories=["Cs"])), max_size=60)
@@ -35,9 +33,10 @@ def test_ids_equal_the_tokenizer(own, reference, text):
     assert np.frombuffer(own.ids(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
-def test_special_strings_are_text(own, reference):
-    text = "a <|endoftext|> b  c \n"
-    assert np.frombuffer(own.ids(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+def test_special_strings_are_tokens(own, reference):
+    assert np.frombuffer(own.ids("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
+    for text in ["a <|endoftext|> b  c \n", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a  <|endoftext|>  b", "<|endoftext|", "\n<|endoftext|>\n\n <|endoftext|>s"]:
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, text
 
 
 @settings(max_examples=60, deadline=None)
