@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from .common import discard, table, written
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
-#: Buckets with more fingerprints are refined by the masks of another covering, up to DEPTH times.
-HEAVY, DEPTH = 1024, 3
+#: Buckets with more fingerprints are refined by the masks of another covering. Fingerprints of one bucket differ only in
+#: positions that no mask on its way kept: after DEPTH coverings 9 at most (for RADIUS), so none holds more than 512.
+HEAVY, DEPTH = 1024, 4
+#: Seed of the order of positions in coverings after the first, chosen for that bound.
+TURNS = 26
 
 
 def fingerprint(text: str | bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -42,11 +45,12 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE, seed: int = SE
 
 
 def masks(depth: int = 0, radius: int = RADIUS) -> list[int]:
-    """Masks of one covering; other depths assign other vectors to the positions."""
-    size = 1 << (radius + 1)
-    turn = [1, 7, 11, 13][depth % 4]
-    vectors = [1 + (i * turn + (i // (size - 1)) * depth * 4) % (size - 1) for i in range(BITS)]
-    return [sum(1 << i for i in range(BITS) if bin(vectors[i] & v).count("1") % 2) for v in range(1, size)]
+    """Masks of one covering; other depths assign the same vectors to other positions."""
+    size, rng = 1 << (radius + 1), np.random.default_rng(TURNS)
+    vectors = 1 + np.arange(BITS) % (size - 1)
+    for d in range(depth):
+        vectors = rng.permutation(1 + np.arange(BITS) % (size - 1))
+    return [sum(1 << i for i in range(BITS) if bin(int(vectors[i]) & v).count("1") % 2) for v in range(1, size)]
 
 
 def _signed(x: int) -> int:
@@ -115,7 +119,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, heavy: int = HEAVY) -> Data
     """Links (a, b) between distinct fingerprints (fp) at ``radius`` or fewer differing bits, enough to connect all that are linked.
 
     Buckets are first counted map-side; only those with two or more fingerprints are dealt out. A bucket
-    over ``heavy`` is refined by another covering (which again lets no pair escape)."""
+    over ``heavy`` is refined by another covering (which again lets no pair escape); after the last one no
+    bucket can be large, so no task compares an unbounded group."""
     points, found, temps = distinct.select(F.lit(0).cast("long").alias("bucket"), "fp"), [], []
     for depth in range(DEPTH):
         keyed = points.select("fp", F.explode(F.array(*[F.xxhash64(F.col("bucket"), F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks(depth, radius))])).alias("bucket"))
@@ -135,14 +140,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, heavy: int = HEAVY) -> Data
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label) of every node that has an edge; label: the smallest ``rank`` reachable.
+    """(node, label) of every node that has an edge; label: the smallest ``rank`` reachable (null only if all are).
 
     ``nodes``: (node long, rank); ``edges``: (a, b long). Labels spread along edges and then jump to their
     own label's label, so rounds grow with the logarithm of a component's diameter in common cases. Each
     round is one map-side combined minimum and two joins; nothing is gathered by component."""
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
     ends = both.select(F.col("u").alias("node")).distinct()
-    labels = written(ends.join(nodes, "node").select("node", F.struct(F.col("rank"), F.col("node")).alias("label")), "labels")
+    labels = written(ends.join(nodes, "node").select("node", F.struct(F.col("rank").isNull().alias("none"), F.col("rank"), F.col("node")).alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("m"))
         spread = labels.join(near, F.col("node") == F.col("u")).select("node", "label", F.least("label", "m").alias("to"))
@@ -163,8 +168,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts, and texts of white space alone, have fingerprint zero and link like any other;
     texts with fewer words than a shingle hash all their words. Copies and repeated rows share a
-    fingerprint and so a component; component_id is the smallest id reachable (null only if all are).
-    Other columns are not read; an empty table gives an empty result.
+    fingerprint and so a component; component_id is the smallest id reachable (null only if all are). Very
+    long texts are hashed whole. Other columns are not read; an empty table gives an empty result.
 
     Scale: 16 bytes a row are kept; equal fingerprints are joined map-side before the tables are built."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")

@@ -5,7 +5,7 @@ import re
 import pytest
 import xxhash
 
-from peptaflow.llm.simhash import components, fingerprint, links, masks, simhash_components
+from peptaflow.llm.simhash import DEPTH, HEAVY, components, fingerprint, links, masks, simhash_components
 
 
 def slow_fingerprint(text):
@@ -38,7 +38,7 @@ def test_fingerprint(awkward):
         assert fingerprint(t) == slow_fingerprint(t)
 
 
-@pytest.mark.parametrize("depth", [0, 1, 2])
+@pytest.mark.parametrize("depth", [0, 1, 2, 3])
 def test_masks_cover_every_pair_within_the_radius(depth):
     found = masks(depth)
     assert len(found) == 15
@@ -78,3 +78,28 @@ def test_rows(tiny, awkward):
 
 def test_empty_table(tiny):
     assert simhash_components(tiny([(1, "x")]).limit(0)).collect() == []
+
+
+def test_last_buckets_are_small():
+    """Positions that are kept by none of one mask of each covering bound a bucket's distinct fingerprints."""
+    free = {(1 << 64) - 1}
+    for depth in range(DEPTH):
+        free = {f & ~m for f in free for m in masks(depth)}
+    assert max(bin(f).count("1") for f in free) <= 9 and 2**9 <= HEAVY
+
+
+def test_dense_ball_of_fingerprints(spark):
+    """Thousands of fingerprints of one bucket: all coverings are used and all are joined."""
+    center = random.Random(7).getrandbits(64)
+    fps = {center} | {center ^ sum(1 << b for b in c) for n in (1, 2) for c in itertools.combinations(range(64), n)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(f), i) for i, f in enumerate(sorted(fps))], "fp long, rank long")
+    labels = components(df.selectExpr("fp AS node", "rank"), links(df.select("fp"), heavy=100)).collect()
+    assert len(labels) == len(fps) and {r["label"] for r in labels} == {0}
+
+
+def test_null_ids_beside_near_texts(tiny):
+    a = " ".join(f"word{i}" for i in range(400))
+    b = next(t for i in range(400) if 0 < bin(slow_fingerprint(t := a.replace(f"word{i} ", f"x{i} ")) ^ slow_fingerprint(a)).count("1") <= 3)
+    out = simhash_components(tiny([(None, a), (5, b), (9, b), (None, "alone")])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(None, 5), (5, 5), (9, 5), (None, None)}
