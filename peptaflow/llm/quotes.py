@@ -49,12 +49,15 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     conversation that has them as source. Messages without a matched quote begin a thread.
 
     Null text counts as empty; rows with null conversation or turn keep their text unlinked as threads of
-    their own; rows that repeat a (conversation, turn) are linked as one message and all returned; extra
-    columns are ignored; an empty table gives an empty result.
+    their own; rows that repeat a (conversation, turn) are linked as one message and all returned; of equal
+    originals the earliest is linked; extra columns are ignored; an empty table gives an empty result.
+    Conversations may have ids of any type that can be ordered; turns are numbers, and one that is not
+    counts as null. Very long texts are parsed whole.
 
     Scale: only quoting messages are exploded by passage; originals are reduced map-side to one row a hash,
-    so common lines and hot conversations are never gathered; threads are resolved by doubling."""
-    base = messages.select(F.col(f"`{conv_col}`").cast("long").alias("c"), F.col(f"`{turn_col}`").cast("long").alias("t"), F.col(f"`{role_col}`").cast("string").alias("role"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    so common lines and hot conversations are never gathered; threads are resolved by doubling. The final order
+    is by ranges of (conversation, thread, turn), so a hot conversation is spread over tasks."""
+    base = messages.select(F.col(f"`{conv_col}`").alias("c"), F.col(f"`{turn_col}`").try_cast("long").alias("t"), F.col(f"`{role_col}`").cast("string").alias("role"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     keyed = base.filter("c IS NOT NULL AND t IS NOT NULL")
     quoting = keyed.filter(F.col("text").rlike(r"(?md)^[ \t]*>"))
     level_of = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, r"^(?:[ \t]*>)+", 0), "[^>]", ""))
@@ -65,7 +68,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         discard(parts)
         plain = base.select("c", "t", "role", unquoted(F.col("text")).alias("text"))
         none = F.lit(None).cast("long")
-        return _named(plain.withColumns({"thread": F.col("t"), "parent": none, "depth": F.lit(0), "n_quotes": F.lit(0).cast("long"), "sc": none, "st": none}), conv_col, turn_col, role_col, text_col)
+        return _named(plain.withColumns({"thread": F.col("t"), "parent": none, "depth": F.lit(0), "n_quotes": F.lit(0).cast("long"), "sc": F.lit(None).cast(plain.schema["c"].dataType), "st": none}), conv_col, turn_col, role_col, text_col)
     asked = parts.select("c", "t", "level", F.explode(_units(F.col("body"))).alias("x")).select("c", "t", "level", F.length("x.u").alias("len"), F.sha2("x.u", 256).alias("h"), "x.wide").groupBy("c", "t", "level", "len", "h").agg(F.max("wide").alias("wide"))
     own = keyed.select("c", "t", F.explode(_units(unquoted(F.col("text")))).alias("x")).select("c", "t", F.sha2("x.u", 256).alias("h"), "x.wide")
     local = own.groupBy("c", "h").agg(F.min("t").alias("ot"))
@@ -112,7 +115,8 @@ _OWN = r"regexp_replace(regexp_replace(text, '(?m)(?:^On [^\n]* wrote:[ \t]*\n)?
 
 def _sql_units(body: str) -> str:
     line, whole = _NORM.format("x"), _NORM.format(body)
-    return f"list_filter(list_distinct(list_concat([{whole}], list_filter([{line} FOR x IN string_split({body}, chr(10))], lambda y: length(y) >= {LEAST_LINE}))), lambda y: y <> '')"
+    found = f"list_filter(list_distinct(list_concat([{whole}], [{line} FOR x IN string_split({body}, chr(10))])), lambda y: y <> '')"
+    return f"list_transform({found}, lambda y: {{'u': y, 'wide': y = {whole} OR length(y) >= {LEAST_LINE}}})"
 
 
 ORACLE = rf"""
@@ -121,15 +125,15 @@ q AS (SELECT DISTINCT * FROM m WHERE regexp_matches(text, '(?m)^[ \t]*>')),
 lv AS (SELECT c, t, text, unnest(range(1, 1 + list_max([length(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+', 0), '[^>]', '', 'g')) FOR x IN string_split(text, chr(10))]))) AS level FROM q),
 ps AS (SELECT c, t, CAST(level AS INTEGER) AS level, unnest(regexp_extract_all(text, '(?m)(?:^(?:[ \t]*>){{' || level || '}}[ \t]*(?:[^>\s][^\n]*)?(?:\n|\z))+', 0)) AS raw FROM lv),
 pb AS (SELECT c, t, level, regexp_replace(raw, '(?m)^(?:[ \t]*>)+[ \t]?', '', 'g') AS body FROM ps),
-pu AS (SELECT c, t, level, unnest({_sql_units("body")}) AS u FROM pb),
-asked AS (SELECT DISTINCT c, t, level, length(u) AS len, sha256(u) AS h FROM pu),
+pu AS (SELECT c, t, level, unnest({_sql_units("body")}) AS x FROM pb),
+asked AS (SELECT c, t, level, length(x.u) AS len, sha256(x.u) AS h, bool_or(x.wide) AS wide FROM pu GROUP BY ALL),
 ob AS (SELECT c, t, {_OWN} AS body FROM m WHERE c IS NOT NULL AND t IS NOT NULL),
-ou AS (SELECT c, t, unnest({_sql_units("body")}) AS u FROM ob),
-loc AS (SELECT c, sha256(u) AS h, min(t) AS ot FROM ou GROUP BY ALL),
-fst AS (SELECT sha256(u) AS h, min({{'c': c, 't': t}}) AS o FROM ou GROUP BY ALL),
+ou AS (SELECT c, t, unnest({_sql_units("body")}) AS x FROM ob),
+loc AS (SELECT c, sha256(x.u) AS h, min(t) AS ot FROM ou GROUP BY ALL),
+fst AS (SELECT sha256(x.u) AS h, min({{'c': c, 't': t}}) AS o FROM ou WHERE x.wide GROUP BY ALL),
 met AS (SELECT asked.*, loc.ot, fst.o FROM asked LEFT JOIN loc USING (c, h) LEFT JOIN fst USING (h)),
 lk AS (SELECT c, t, min({{'a': level, 'b': -len, 'o': -ot}}) FILTER (ot < t) AS best,
-  min({{'a': level, 'b': -len, 'sc': o.c, 'st': o.t}}) FILTER (coalesce(ot >= t, true) AND o.c <> c) AS src FROM met GROUP BY c, t),
+  min({{'a': level, 'b': -len, 'sc': o.c, 'st': o.t}}) FILTER (coalesce(ot >= t, true) AND wide AND o.c <> c) AS src FROM met GROUP BY c, t),
 info AS (SELECT n.c, n.t, n.n_quotes, -best.o AS parent, src.sc AS sc, src.st AS st FROM (SELECT c, t, count(*) AS n_quotes FROM pb GROUP BY ALL) n LEFT JOIN lk USING (c, t)),
 up AS (SELECT c, t, parent AS up, 1 AS depth FROM info WHERE parent IS NOT NULL
   UNION ALL SELECT up.c, up.t, i.parent, depth + 1 FROM up JOIN info i ON i.c = up.c AND i.t = up.up WHERE i.parent IS NOT NULL),

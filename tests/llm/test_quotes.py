@@ -21,6 +21,11 @@ ROWS = [
     (2, 0, "user", "> Look under the old table.\nQuoted from elsewhere."),
     (2, 1, "user", None), (2, 2, "user", ""), (2, 2, "user", ""), (None, 3, "user", "> Look under the old table."), (3, None, None, "text"),
 ]
+SHORT = [
+    (1, 0, "user", "Shall I send it by mail?\nYes please\nor not at all, as you like."), (1, 1, "assistant", "> Yes please\nDone."),
+    (1, 2, "user", "One more thing\nto do\nnow\nand then we rest."), (1, 3, "assistant", "> to do\n> now\nAgreed."),
+    (2, 0, "user", "> Yes please\nTaken from elsewhere."),
+]
 
 
 def test_links(spark):
@@ -53,7 +58,7 @@ def test_sql_agrees(spark):
     duckdb = pytest.importorskip("duckdb")
     from peptaflow.llm.quotes import ORACLE
 
-    rows = [r for r in ROWS if r[0] is not None and r[1] is not None]
+    rows = [r for r in ROWS if r[0] is not None and r[1] is not None] + [(r[0] + 10, *r[1:]) for r in SHORT]
     pdf = messages(spark, rows).select("conv_id", "turn", "role", "text").toPandas()
     con = duckdb.connect()
     con.register("conversations", pdf)
@@ -62,12 +67,17 @@ def test_sql_agrees(spark):
 
 
 def test_short_lines_link_within_a_conversation(spark):
-    rows = [
-        (1, 0, "user", "Shall I send it by mail?\nYes please\nor not at all, as you like."), (1, 1, "assistant", "> Yes please\nDone."),
-        (1, 2, "user", "One more thing\nto do\nnow\nand then we rest."), (1, 3, "assistant", "> to do\n> now\nAgreed."),
-        (2, 0, "user", "> Yes please\nTaken from elsewhere."),
-    ]
-    got = find(link_quotes(messages(spark, rows)))
+    got = find(link_quotes(messages(spark, SHORT)))
     assert (got[1, 1]["parent_turn"], got[1, 1]["thread_turn"], got[1, 1]["depth"]) == (0, 0, 1)
     assert got[1, 3]["parent_turn"] == 2 and got[1, 1]["source_conv"] is None
     assert got[2, 0]["parent_turn"] is None and got[2, 0]["source_conv"] is None
+
+
+def test_ids_and_turns_of_text(spark):
+    rows = [("c-x", "0", "user", "What is the time by your watch?"), ("c-x", "1", "user", "> What is the time by your watch?\nNoon."), ("c-x", "soon", "user", "> What is the time by your watch?\nLate."), ("d", "0", "user", "> What is the time by your watch?\nElsewhere.")]
+    df = spark.createDataFrame(rows, "conv_id string, turn string, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in link_quotes(df).collect()}
+    assert set(got) == {("c-x", 0), ("c-x", 1), ("c-x", None), ("d", 0)}
+    assert got["c-x", 1]["parent_turn"] == 0 and got["d", 0]["source_conv"] == "c-x" and got["c-x", None]["parent_turn"] is None
+    plain = spark.createDataFrame([("a", "1", "u", "x")], "conv_id string, turn string, role string, text string")
+    assert link_quotes(plain).schema == link_quotes(df).schema
