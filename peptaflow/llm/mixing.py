@@ -26,8 +26,8 @@ from .toxicity import _WORD, STEMS, TermIds, word_terms
 SAMPLE, LEAST_CHI2 = 6000, 30.0
 #: Share of all tokens that each domain is to have after mixing.
 TARGETS = {"clean": 0.87, "low": 0.08, "toxic": 0.05}
-#: The same for the pipeline, whose first stage has removed toxic documents.
-QUALITY_TARGETS = {"high": 0.92, "low": 0.08}
+#: The same for the pipeline, whose first stage has removed toxic documents; the low share is only ever lowered.
+QUALITY_TARGETS, ONLY_LOWERED = {"high": 0.92, "low": 0.08}, ("low",)
 STEPS, TOLERANCE = 40, 1e-3
 STYLE = 8
 #: Misfits are weighed by the inverse of sum(tokens p p') with this share of its mean diagonal added, so a domain without mass cannot rule the fit.
@@ -256,12 +256,13 @@ def _posterior_matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def fit_rates(members: DataFrame, targets: Sequence[float], most: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, list[dict[str, list[float]]]]:
+def fit_rates(members: DataFrame, targets: Sequence[float], most: int = STEPS, tolerance: float = TOLERANCE, lowered: Sequence[int] = ()) -> tuple[np.ndarray, list[dict[str, list[float]]]]:
     """The steps (misfits scaled by the inverse of sum(tokens p p')) whose replay gives each document's rate, and the trace.
 
     In the metric that weighs documents by their tokens the misfit's gradient has a Lipschitz constant of at
     most one, so unit steps are safe, and all but exact where no rate meets zero. Targets that posteriors cannot
-    tell apart are approached as far as ``most`` steps lead. The driver sees k by k sums."""
+    tell apart are approached as far as ``most`` steps lead. Domains ``lowered`` whose share is below their
+    target keep it, and the others share the rest. The trace begins with the goal; the driver sees k by k sums."""
     k = len(targets)
     goal = np.array(targets, float) / sum(targets)
 
@@ -286,7 +287,12 @@ def fit_rates(members: DataFrame, targets: Sequence[float], most: int = STEPS, t
     got = sums(np.zeros((0, k)), True)
     s, m = got[:k], got[k:].reshape(k, k)
     total = float(s.sum())
-    trace = [{"tokens": s.tolist()}]
+    if total and any(s[i] < goal[i] * total for i in lowered):
+        less = [i for i in lowered if s[i] < goal[i] * total]
+        others = [i for i in range(k) if i not in less]
+        goal[less] = s[less] / total
+        goal[others] *= (1 - goal[less].sum()) / max(goal[others].sum(), 1e-300)
+    trace = [{"tokens": s.tolist(), "goal": goal.tolist()}]
     if not total:
         return np.zeros((0, k)), trace
     inverse = np.linalg.inv(m + RIDGE * np.trace(m) * np.eye(k) / k)
@@ -315,10 +321,10 @@ def rated(members: DataFrame, steps: np.ndarray) -> DataFrame:
     return members.mapInArrow(run, with_fields(members.schema, rate=T.DoubleType())).withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, pieces: tuple[str, ...], targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, pieces: tuple[str, ...], targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, lowered: Sequence[str] = ()) -> DataFrame:
     """One row per input row: id, tokens, p_<domain>..., rate, copies, target_gap; with ``carry`` also ``row``, a struct of all input columns.
 
-    ``labelled``: (id, domain). Null and empty texts have no tokens and take the rate of their posteriors.
+    ``labelled``: (id, domain); ``lowered``: domains whose share is lowered to the target but never raised. Null and empty texts have no tokens and take the rate of their posteriors.
     Rows and ids, repeated or null, are kept; rows that share an id share the rounding; other columns are
     not read. Without labelled rows posteriors are uniform; an empty table gives an empty result. Very long
     texts are counted whole. ``target_gap``, the same in every row, is the largest difference between a
@@ -327,9 +333,9 @@ def mix(docs: DataFrame, labelled: DataFrame, pieces: tuple[str, ...], targets:
     targets = targets or TARGETS
     model = fit_domains(docs, labelled, list(targets), pieces, id_col=id_col, text_col=text_col)
     members = written(memberships(docs, model, pieces, id_col, text_col, carry), "memberships")
-    steps, trace = fit_rates(members, list(targets.values()))
+    steps, trace = fit_rates(members, list(targets.values()), lowered=[list(targets).index(d) for d in lowered])
     reached = np.array(trace[-1]["tokens"])
-    gap = float(np.abs(reached / reached.sum() - np.array(list(targets.values())) / sum(targets.values())).max()) if reached.sum() else 0.0
+    gap = float(np.abs(reached / reached.sum() - np.array(trace[0]["goal"])).max()) if reached.sum() else 0.0
     out = rated(members, steps)
     cols = [F.col("id").alias(id_col), "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(targets)], "rate", "copies", F.lit(gap).alias("target_gap")]
     if carry:

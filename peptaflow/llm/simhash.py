@@ -27,23 +27,32 @@ HEAVY, DEPTH = 1024, 4
 TURNS = 26
 
 
-def fingerprint(text: str | bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit SimHash of word shingles; A-Z lower-cased, words split at ASCII white space."""
+def gram_hashes(text: str | bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; A-Z lower-cased, words split at ASCII white space. Fewer words than a shingle are hashed as a whole; without words there is no hash."""
     words = (text or b"" if not isinstance(text, str) else text.encode("utf-8", "surrogatepass")).lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
         grams: Iterable[bytes] = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, seed) for g in grams), np.uint64)
+    return np.fromiter((digest(g, seed) for g in grams), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64-bit SimHash of word shingles; zero without words."""
+    return majority(gram_hashes(text, shingle, seed))
+
+
 def masks(depth: int = 0, radius: int = RADIUS) -> list[int]:
     """Masks of one covering; other depths assign the same vectors to other positions."""
     size, rng = 1 << (radius + 1), np.random.default_rng(TURNS)

@@ -150,3 +150,13 @@ def test_posteriors_and_tokens_like_brute_force(tiny, spark, pieces):
     out = mix(df, spark.createDataFrame(list(labels.items()), "id long, domain string"), pieces, {"clean": 0.6, "low": 0.4}).collect()
     reached = np.array([[r["tokens"] * r["rate"] * r["p_clean"], r["tokens"] * r["rate"] * r["p_low"]] for r in out]).sum(0)
     assert all(abs(r["target_gap"] - np.abs(reached / reached.sum() - [0.6, 0.4]).max()) < 1e-9 for r in out) and out[0]["target_gap"] <= 2e-3
+
+
+def test_domains_that_are_only_lowered(spark):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([5, 0.2], 1000)
+    members = spark.createDataFrame([(i, 10, b.tolist()) for i, b in enumerate(p)], "id long, tokens long, p array<double>")
+    steps, trace = fit_rates(members, [0.5, 0.5], lowered=[1])
+    assert len(steps) == 0 and np.allclose(trace[0]["goal"], p.mean(0))
+    steps, trace = fit_rates(members, [0.99, 0.01], lowered=[1])
+    assert len(steps) and np.allclose(trace[0]["goal"], [0.99, 0.01])

@@ -1,8 +1,10 @@
 import itertools
 import random
 
+import pytest
+
 import corpus_pipeline
-from peptaflow.llm import simhash
+from peptaflow.llm import near_dedup, simhash
 from peptaflow.llm.near_dedup import bands, near_components, shingles
 
 
@@ -44,7 +46,20 @@ def test_stage_drops_near_copies_that_simhash_keeps(spark, tiny):
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 80, 2))
 
 
-def test_components_against_all_pairs(tiny, awkward):
+def test_repeated_ids_keep_their_texts(spark, tiny):
+    a, other = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    rows = [(1, a), (5, a.replace("a99", "z")), (5, other), (5, other), (None, other + " end"), (None, None), (None, ""), (7, "  ")]
+    left = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, tiny(rows), "").collect()), key=str)
+    assert left == sorted([(1, a), (5, other), (7, "  ")], key=str)
+    kept = near_components(tiny(rows)).filter("kept").collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in kept) == [(1, 1), (5, 5), (5, 5), (7, 7)]
+    out = corpus_pipeline.drop_near_copies(spark, tiny(rows), "")
+    assert out.columns == tiny(rows).columns and corpus_pipeline.drop_near_copies(spark, tiny(rows).limit(0), "").collect() == []
+
+
+@pytest.mark.parametrize("part", [near_dedup.PART, 3])
+def test_components_against_all_pairs(tiny, awkward, part, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", part)
     rng = random.Random(8)
     rows = list(awkward)
     for g in range(6):
@@ -52,6 +67,8 @@ def test_components_against_all_pairs(tiny, awkward):
         for k in range(25):  # a chain: neighbours are alike, its ends are not
             rows.append((100 * (g + 1) + k, " ".join(words)))
             words = edited(rng, words, rng.choice([1, 2, 3, 4]))
+    core = [f"t{i}" for i in range(85)]  # a family just below the similarity, with one late pair above it
+    rows += [(2000 + k, " ".join(core + [f"u{k}x{i}" for i in range(15)])) for k in range(40)] + [(2050, " ".join(core + [f"u7x{i}" for i in range(14)]))]
     got = sorted(((r["doc_id"], r["component_id"]) for r in near_components(tiny(rows)).collect()), key=str)
     assert got == sorted(((i, c) for (i, _), c in zip(rows, slow_components(rows), strict=True)), key=str)
     assert near_components(tiny(rows).limit(0)).collect() == []

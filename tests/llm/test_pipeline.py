@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from peptaflow.llm import simhash, toxicity
+from peptaflow.llm import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,21 +59,28 @@ def test_each_stage_against_brute_force(spark, folder, tmp_path):
     assert Counter(r["doc_id"] for r in rows) == Counter(best.values())
 
     before, rows = outs[2]
-    fps = {i: simhash.fingerprint(t) for i, t in before}
-    label = {i: i for i in fps}
+    grams = lambda t: {" ".join(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4))}
+    sets = {i: grams(t) for i, t in before}
+    label = {i: i for i in sets}
     moved = True
     while moved:
         moved = False
-        for i in fps:
-            for j in fps:
-                if label[i] != label[j] and bin(fps[i] ^ fps[j]).count("1") <= 3:
-                    label[i] = label[j] = min(label[i], label[j])
-                    moved = True
-    assert sorted(r["doc_id"] for r in rows) == sorted(i for i in fps if label[i] == i)
+        for i in sets:
+            for j in sets:
+                if label[i] != label[j]:
+                    both = len(sets[i] & sets[j])
+                    if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                        label[i] = label[j] = min(label[i], label[j])
+                        moved = True
+    assert sorted(r["doc_id"] for r in rows) == sorted(i for i in sets if label[i] == i)
 
     before, rows = outs[3]
     assert set((r["doc_id"], r["text"]) for r in rows) <= set(before)
-    assert len({r["doc_id"] for r in rows}) > 0.5 * len(before)
+    plain = {i for i, t in before if t and t != t.upper()}
+    assert len({r["doc_id"] for r in rows} & plain) >= 0.97 * len(plain)
+    tokens = lambda part: sum(len(t or "") for _, t in part)
+    share = tokens((r["doc_id"], r["text"]) for r in rows if r["doc_id"] not in plain) / tokens((r["doc_id"], r["text"]) for r in rows)
+    assert share < 0.16 < tokens((i, t) for i, t in before if i not in plain) / tokens(before) + 0.16
 
     before, rows = outs[4]
     assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(i for i, _ in before)
