@@ -11,16 +11,18 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_sample, discard, table, with_fields, written
 from .token_counts import WORD_START, WordCounts, counter, load_pieces
-from .toxicity import _WORD, STEMS, TermIds, word_terms
+from .toxicity import _WORD, Terms, word_terms
 
 #: Labelled rows that the classifier is fitted on, at most; least chi-square of a term with a domain (every term that reaches it is kept).
 SAMPLE, LEAST_CHI2 = 6000, 30.0
@@ -33,58 +35,80 @@ STYLE = 8
 #: Misfits are weighed by the inverse of sum(tokens p p') with this share of its mean diagonal added, so a domain without mass cannot rule the fit.
 RIDGE = 1e-3
 CACHE_WORDS = 400_000
-_UPPER_ONE = 1 << 40
-
-
-class WordSums(dict):
-    """word -> tokens, plus 2^40 if it is in capitals: one sum over a text gives both; forgets all when full."""
-
-    def __init__(self, counts: WordCounts, most: int = CACHE_WORDS):
-        super().__init__()
-        self.counts, self.most = counts, most
-
-    def __missing__(self, word: str) -> int:
-        v = self.counts.automaton.count(WORD_START + word) + (_UPPER_ONE if word.isupper() else 0)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = v
-        return v
-
-
-class RawTermIds(TermIds):
-    """As TermIds, for words as they stand between white space: lower-cased, punctuation apart."""
-
-    def __init__(self, vocabulary: dict[str, int], most: int = CACHE_WORDS):
-        super().__init__(vocabulary, most)
-        self.by_head: dict[str, list[tuple[str, bool, int]]] = {}  # a word's terms all share its first letters
-        for t, i in vocabulary.items():
-            term = t.rstrip("-")
-            self.by_head.setdefault(term[: STEMS[0]], []).append((term, t.endswith("-"), i))
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        low, ids = word.lower(), ()
-        for w in (low,) if low.isalnum() else _WORD.findall(low):
-            for term, stem, i in self.by_head.get(w[: STEMS[0]], ()):
-                if w == term if not stem else (w.startswith(term) and w != term):
-                    ids += (i,)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-def style(text: str, words: Sequence[str], upper: int) -> list[float]:
-    """Features of form: length, letter case, punctuation, repetition."""
-    n = len(words)
-    if not n:
-        return [0.0] * STYLE
-    counts = Counter(words)
-    return [
-        np.log1p(n), upper / n, len(counts) / n, max(counts.values()) / n, (text.count("|") + text.count("#") + text.count("*")) / n,
-        text.count("!") / n, len(text) / n / 10, text.count("\n") / n,
-    ]
+#: Bits of a word's packed facts: tokens, then one for capitals, then the number of its set of terms.
+_TOKENS, _CAPITALS = (1 << 40) - 1, 40
+
+
+class RawTerms(Terms):
+    """As Terms, for words as they stand between white space: lower-cased, punctuation apart."""
+
+    def find(self, word: str) -> tuple[int, ...]:
+        low, find = word.lower(), super().find
+        return find(low) if low.isalnum() else tuple(i for w in _WORD.findall(low) for i in find(w))
+
+
+class WordFacts:
+    """Words' tokens, whether they are in capitals, and their sets of terms, as one number each; forgets all when full."""
+
+    def __init__(self, counts: WordCounts, vocabulary: dict[str, int], most: int = CACHE_WORDS):
+        self.count, self.terms, self.most = counts.automaton.count, RawTerms(vocabulary), most
+        self.known: dict[str, int] = {}
+        self.sets, self.numbers = [()], {(): 0}
+
+    def of(self, words: Sequence[str]) -> np.ndarray:
+        """Facts of distinct words."""
+        known, count, find = self.known, self.count, self.terms.find
+        out = list(map(known.get, words))
+        if len(known) >= self.most:
+            known.clear()
+        for i in [i for i, v in enumerate(out) if v is None]:
+            word = words[i]
+            v = count(WORD_START + word)
+            if word.isupper():
+                v |= 1 << _CAPITALS
+            if ids := find(word):
+                if ids not in self.numbers:
+                    self.numbers[ids] = len(self.sets)
+                    self.sets.append(ids)
+                v |= self.numbers[ids] << _CAPITALS + 1
+            out[i] = v
+            if len(word) <= 64:
+                known[word] = v
+        return np.array(out, np.int64)
+
+
+#: Characters of the texts whose words are looked up together; a longer text is taken by itself.
+CHUNK = 1 << 22
+
+
+def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[pa.Array]:
+    """Consecutive texts (null as empty) of about ``most`` characters together."""
+    texts = pc.fill_null(texts, "")
+    start = size = 0
+    for i, n in enumerate(pc.utf8_length(texts).to_pylist()):
+        if size and size + n > most:
+            yield texts.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield texts.slice(start)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words of each text as ``str.split`` has them: how many, each one's number, and the distinct words."""
+    parts = pc.utf8_split_whitespace(texts.cast(pa.large_string()))
+    flat = parts.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty part
+    size = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    n = np.diff(kept[np.concatenate([[0], np.cumsum(size)])])
+    coded = flat.filter(full).dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    if len(set(known)) < len(known) or any(w.split() != [w] for w in known):  # seen: white space left at the end of the last text
+        words = [t.split() for t in texts.to_pylist()]
+        n, coded = np.fromiter(map(len, words), np.int64, len(words)), pa.array(list(chain.from_iterable(words)), pa.large_string()).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+    return n, coded.indices.to_numpy().astype(np.int64), known
 
 
 class DomainModel:
@@ -95,18 +119,39 @@ class DomainModel:
         k, d = len(self.domains), STYLE + len(terms) + 1
         self.mean, self.scale, self.weights = np.zeros(STYLE), np.ones(STYLE), np.zeros((d, k))
 
-    def features(self, text: str, ids_of: RawTermIds, sums: WordSums) -> tuple[list[float], set[int], int]:
-        """Style, terms, and the number of tokens."""
-        words = text.split()
-        upper, tokens = divmod(sum(map(sums.__getitem__, words)), _UPPER_ONE)
-        return style(text, words, upper), {i for ids in filter(None, map(ids_of.__getitem__, words)) for i in ids}, tokens
-
-    def train(self, styles: np.ndarray, terms: Sequence[set[int]], y: np.ndarray, steps: int = 300, decay: float = 1e-3) -> None:
+    def features(self, texts: pa.Array, facts: WordFacts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Style rows (length, letter case, repetition, punctuation), text numbers and terms of the texts' distinct terms, and tokens.
+
+        Each distinct word of the texts is looked up once."""
+        n, at, known = split_words(texts)
+        found = facts.of(known)
+        ends, each = np.cumsum(n), found[at]
+        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
+        tokens, upper = total(each & _TOKENS), total(each >> _CAPITALS & 1)
+        pair, times = np.unique(np.repeat(np.arange(len(texts)), n) * max(1, len(known)) + at, return_counts=True)
+        row, word = np.divmod(pair, max(1, len(known)))
+        distinct, most = np.bincount(row, minlength=len(texts)), np.zeros(len(texts), np.int64)
+        if len(row):
+            most[n > 0] = np.maximum.reduceat(times, np.searchsorted(row, np.flatnonzero(n > 0)))
+        number = found[word] >> _CAPITALS + 1
+        row, number = np.divmod(np.unique(row[number > 0] * len(facts.sets) + number[number > 0]), len(facts.sets))
+        sizes = np.fromiter(map(len, facts.sets), np.int64, len(facts.sets))
+        begin = np.cumsum(sizes) - sizes
+        flat = np.fromiter(chain.from_iterable(facts.sets), np.int64, int(sizes.sum()))
+        many = sizes[number]
+        place = np.repeat(begin[number] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        d = max(1, len(self.vocabulary))
+        row, term = np.divmod(np.unique(np.repeat(row, many) * d + flat[place]), d)
+        seen = {c: pc.count_substring(texts, c).to_numpy(zero_copy_only=False).astype(float) for c in "|#*!\n"}
+        marks = np.column_stack([seen["|"] + seen["#"] + seen["*"], seen["!"], pc.utf8_length(texts).to_numpy(zero_copy_only=False) / 10, seen["\n"]])
+        style = np.column_stack([np.log1p(n), np.column_stack([upper, distinct, most, marks]) / np.maximum(n, 1)[:, None]])
+        style[n == 0] = 0
+        return style, row, term, tokens
+
+    def train(self, styles: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, steps: int = 120, decay: float = 1e-3) -> None:
         """Accelerated gradient; terms are held sparse, so memory grows with their occurrences."""
         self.mean, self.scale = styles.mean(0), styles.std(0) + 1e-6
         dense = np.hstack([np.clip((styles - self.mean) / self.scale, -5, 5), np.ones((len(y), 1))])
-        row = np.repeat(np.arange(len(y)), [len(t) for t in terms])
-        col = np.fromiter((j for t in terms for j in sorted(t)), np.int64, len(row))
         n, d, ends = len(y), len(self.vocabulary), [*range(STYLE), -1]
 
         def times(v: np.ndarray) -> np.ndarray:
@@ -138,11 +183,10 @@ class DomainModel:
             w, v = new, new + s / (s + 3) * (new - w)
         self.weights = w
 
-    def posteriors(self, styles: np.ndarray, terms: Sequence[set[int]]) -> np.ndarray:
+    def posteriors(self, styles: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
         z = np.clip((styles - self.mean) / self.scale, -5, 5) @ self.weights[:STYLE] + self.weights[-1]
-        for i, t in enumerate(terms):
-            if t:
-                z[i] += self.weights[[STYLE + j for j in t]].sum(0)
+        for c in range(z.shape[1]):
+            z[:, c] += np.bincount(row, self.weights[STYLE + col, c], len(z))
         p = np.exp(z - z.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -157,31 +201,32 @@ def quality_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.select(F.col(f"`{id_col}`").alias("id"), F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("domain")).dropna()
 
 
-_CACHES: dict[int, tuple[RawTermIds, WordSums]] = {}
+_FACTS: dict[int, WordFacts] = {}
 
 
-def caches(shared: tuple[DomainModel, tuple[str, ...]]) -> tuple[DomainModel, RawTermIds, WordSums]:
-    """The model with this worker's caches for it."""
-    model, pieces = shared
+def facts_of(model: DomainModel, pieces: tuple[str, ...]) -> WordFacts:
+    """This worker's facts of words for a model and a vocabulary."""
     key = hash((tuple(model.vocabulary), pieces))
-    if key not in _CACHES:
-        _CACHES.clear()
-        _CACHES[key] = RawTermIds(model.vocabulary), WordSums(counter(pieces))
-    return model, *_CACHES[key]
+    if key not in _FACTS:
+        _FACTS.clear()
+        _FACTS[key] = WordFacts(counter(pieces), model.vocabulary)
+    return _FACTS[key]
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], pieces: tuple[str, ...], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
     """Fits the classifier on at most ``sample`` labelled rows (by hash of the id) with their whole texts.
 
     The driver receives the significant terms and one sparse row for each row of the sample, all from ``sample``
-    texts however large the corpus is. Rows with a null id or domain are not used; an id with several domains
+    texts however large the corpus is. Rows of one text and domain are one example, so copies have no weight;
+    rows with a null id or domain are not used; an id with several domains
     counts with the first of them by name; null texts count as empty, long ones are read whole. With
     fewer than two domains among the labelled rows the posteriors are uniform."""
     names = list(domains)
     number = F.array_position(F.array(*[F.lit(d) for d in names]), F.col("domain")) - 1
     chosen_ids = bounded_sample(labelled.groupBy("id").agg(F.min("domain").alias("domain")).filter(F.col("domain").isin(names)).select("id", number.cast("int").alias("y")), sample, "id")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    chosen = written(texts.join(F.broadcast(chosen_ids), "id").repartition(12, F.xxhash64("id", "text")), "labelled")  # at most ``sample`` ids
+    met = texts.join(F.broadcast(chosen_ids), "id")  # at most ``sample`` ids
+    chosen = written(met.groupBy("text", "y").agg(F.min("id").alias("id")).repartition(12, F.xxhash64("id", "text")), "labelled")
     total = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(total) < 2:
         discard(chosen)
@@ -211,14 +256,19 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], pi
     shared = docs.sparkSession.sparkContext.broadcast((model, pieces))
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids_of, sums = caches(shared.value)
+        own, facts = shared.value[0], facts_of(*shared.value)
         for b in batches:
-            got = [own.features(t.as_py(), ids_of, sums) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([sorted(g[1]) for g in got], pa.list_(pa.int32()))], names=["id", "y", "style", "terms"])
+            styles, terms = [], []
+            for texts in chunks(b.column("text")):
+                shape, row, term, _ = own.features(texts, facts)
+                styles += shape.tolist()
+                terms += [t.tolist() for t in np.split(term, np.searchsorted(row, np.arange(1, len(texts))))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(styles, pa.list_(pa.float64())), pa.array(terms, pa.list_(pa.int32()))], names=["id", "y", "style", "terms"])
 
     rows = sorted(chosen.mapInArrow(extract, f"id {dict(chosen.dtypes)['id']}, y int, style array<double>, terms array<int>").collect(), key=lambda r: (r["id"], r["style"]))
     discard(chosen, scored)
-    model.train(np.array([r["style"] for r in rows]), [set(r["terms"]) for r in rows], np.array([r["y"] for r in rows]))
+    row, col = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows]), np.fromiter((t for r in rows for t in r["terms"]), np.int64)
+    model.train(np.array([r["style"] for r in rows]), row, col, np.array([r["y"] for r in rows]))
     return model
 
 
@@ -227,17 +277,15 @@ def memberships(docs: DataFrame, model: DomainModel, pieces: tuple[str, ...], id
     shared = docs.sparkSession.sparkContext.broadcast((model, pieces))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids_of, sums = caches(shared.value)
+        own, facts = shared.value[0], facts_of(*shared.value)
         for b in batches:
-            tokens, styles, terms = [], [], []
-            for t in b.column("text"):
-                shape, ids, n = own.features(t.as_py() or "", ids_of, sums)
-                styles.append(shape)
-                terms.append(ids)
-                tokens.append(n)
-            p = own.posteriors(np.array(styles).reshape(-1, STYLE), terms)
+            tokens, p = [], []
+            for texts in chunks(b.column("text")):
+                styles, row, term, n = own.features(texts, facts)
+                tokens += n.tolist()
+                p += own.posteriors(styles, row, term).tolist()
             columns = b.columns if carry else [b.column("id")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))], names=[*(b.schema.names if carry else ["id"]), "tokens", "p"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=[*(b.schema.names if carry else ["id"]), "tokens", "p"])
 
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if carry else []))
     schema = with_fields(base.schema if carry else base.select("id").schema, tokens=T.LongType(), p=T.ArrayType(T.DoubleType()))

@@ -6,7 +6,9 @@ so a word is counted in one pass over its characters, without building pieces or
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -138,8 +140,9 @@ def token_counts(docs: DataFrame, pieces: tuple[str, ...], id_col: str = "doc_id
             words, tokens = [], []
             for t in b.column("text"):
                 w = (t.as_py() or "").split()
+                distinct = Counter(w)  # each distinct word is looked up once
                 words.append(len(w))
-                tokens.append(sum(map(get, w)))
+                tokens.append(sum(map(mul, map(get, distinct), distinct.values())))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["id", "n_words", "n_tokens"])
 
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

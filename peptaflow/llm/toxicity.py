@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +40,51 @@ def word_terms(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in STEMS if n < len(word))]
 
 
+class Terms:
+    """Finds the terms of a word in a vocabulary of words and word beginnings."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.words = {t: i for t, i in vocabulary.items() if not t.endswith("-")}
+        self.stems = {t[:-1]: i for t, i in vocabulary.items() if t.endswith("-")}
+        self.sizes: dict[str, list[int]] = {}  # lengths of the beginnings that share their first letters
+        for stem in self.stems:
+            self.sizes.setdefault(stem[: STEMS[0]], []).append(len(stem))
+        self.sizes = {head: sorted(set(n)) for head, n in self.sizes.items()}
+
+    def find(self, word: str) -> tuple[int, ...]:
+        ids = () if (i := self.words.get(word)) is None else (i,)
+        for n in self.sizes.get(word[: STEMS[0]], ()):
+            if n >= len(word):
+                break
+            if (i := self.stems.get(word[:n])) is not None:
+                ids += (i,)
+        return ids
+
+
 class TermIds(dict):
     """word -> ids of its terms in the vocabulary; forgets all when full."""
 
     def __init__(self, vocabulary: dict[str, int], most: int = CACHE_WORDS):
         super().__init__()
-        self.vocabulary, self.most = vocabulary, most
+        self.terms, self.most = Terms(vocabulary), most
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(i for t in word_terms(word) if (i := self.vocabulary.get(t)) is not None)
+        ids = self.terms.find(word)
         if len(self) >= self.most:
             self.clear()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def count(self, text: str) -> Counter[int]:
+        """Occurrences of each term in a text; each distinct word is looked up once."""
+        words, counts = Counter(_WORD.findall(text.lower())), Counter()
+        found = list(map(self.__getitem__, words))
+        for ids, n in compress(zip(found, words.values(), strict=True), found):
+            for i in ids:
+                counts[i] += n
+        return counts
+
 
 class BlockMaxIndex:
     """Exact top-k by cosine over unit vectors; ties to the smaller example number."""
@@ -148,9 +179,7 @@ class ToxicityModel:
 
     def score(self, text: str) -> tuple[float, str]:
         """Calibrated score, and all examples that voted as doc_id:cosine, nearest first."""
-        counts: Counter[int] = Counter()
-        for ids in filter(None, map(self.ready().__getitem__, _WORD.findall(text.lower()))):
-            counts.update(ids)
+        counts = self.ready().count(text)
         if not counts:
             return self.bare, ""
         key = tuple(sorted(counts.items()))
@@ -212,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = TermIds(vocabulary)
         for b in batches:
-            counts = [Counter(i for ids in map(ids_of.__getitem__, _WORD.findall(t.as_py().lower())) for i in ids) for t in b.column("text")]
+            counts = [ids_of.count(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["id", "y", "t", "n"])
 
     rows = chosen.mapInArrow(count, f"id {dict(chosen.dtypes)['id']}, y int, t array<int>, n array<int>").collect()

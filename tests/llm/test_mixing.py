@@ -60,15 +60,15 @@ def test_empty_and_unlabelled(tiny, spark, pieces):
 
 
 def test_terms_of_raw_words():
-    from peptaflow.llm.mixing import RawTermIds
+    from peptaflow.llm.mixing import RawTerms
     from peptaflow.llm.toxicity import TermIds
 
     vocabulary = {t: i for i, t in enumerate(["alp-", "alpha", "alph-", "be", "gam-", "gamm-", "gamma", "élan", "éla-", "12", "123-"])}
-    raw, plain = RawTermIds(vocabulary), TermIds(vocabulary)
+    raw, plain = RawTerms(vocabulary), TermIds(vocabulary)
     for text in ["alpha", "Alpha,", "alphabet.", "be", "BE!!", "bee", "gamma-alpha", "gam", "ÉLAN", "élans", "12", "1234", "12-123", "", "--"]:
         import re
 
-        assert set(raw[text]) == {i for w in re.findall(r"\w+", text.lower()) for i in plain[w]}, text
+        assert set(raw.find(text)) == {i for w in re.findall(r"\w+", text.lower()) for i in plain[w]}, text
 
 
 def test_posteriors_and_tokens_like_brute_force(tiny, spark, pieces):
@@ -160,3 +160,17 @@ def test_domains_that_are_only_lowered(spark):
     assert len(steps) == 0 and np.allclose(trace[0]["goal"], p.mean(0))
     steps, trace = fit_rates(members, [0.99, 0.01], lowered=[1])
     assert len(steps) and np.allclose(trace[0]["goal"], [0.99, 0.01])
+
+
+def test_words_as_python_splits_them():
+    import sys
+
+    import pyarrow as pa
+
+    from peptaflow.llm.mixing import chunks, split_words
+
+    texts = ["", " ", "a", " a\nb  a ", "\u3000x\x85y\x1cz ", "".join(f"a{chr(c)}" for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)]
+    n, at, known = split_words(pa.array(texts))
+    assert n.tolist() == [len(t.split()) for t in texts]
+    assert [known[i] for i in at.tolist()] == [w for t in texts for w in t.split()]
+    assert [c.to_pylist() for c in chunks(pa.array(["ab", None, "abcdef", "a", "b"]), 3)] == [["ab", ""], ["abcdef"], ["a", "b"]]
