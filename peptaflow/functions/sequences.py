@@ -104,7 +104,12 @@ def overlap_hamming(a: Column, b: Column) -> Column:
 
 
 def kmers(seq: Column, k: int | Column) -> Column:
-    """All windows of length k, in order; none if the sequence is shorter."""
+    """All windows of length k, in order; none if the sequence is shorter.
+
+    A fixed k is found by one pass of a pattern (not from the second half of a surrogate pair), in time that
+    grows with the length; a column of lengths takes a substring for each window."""
+    if isinstance(k, int) and k > 0:
+        return F.coalesce(F.regexp_extract_all(seq, F.lit(rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{k}}}))"), F.lit(1)), F.array().cast("array<string>"))
     k = F.lit(k) if isinstance(k, int) else k
     starts = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - k + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.substring(seq, i, k))

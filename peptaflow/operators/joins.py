@@ -62,15 +62,38 @@ def first_match(left: DataFrame, right: DataFrame, on: Sequence[str], order: Seq
     return left.join(first_by(right, on, order), list(on), how)
 
 
-def seed_pairs(queries: DataFrame, subjects: DataFrame, query_id: str, query_text: str, subject_id: str, subject_text: str, k: int, frequent: int | None = None) -> DataFrame:
+#: Rows up to which the seeds of a query side are broadcast; larger sides are joined by shuffle.
+BROADCAST_SEEDS = 1_000_000
+
+
+def seed_pairs(queries: DataFrame, subjects: DataFrame, query_id: str, query_text: str, subject_id: str, subject_text: str, k: int, frequent: int | None = None, broadcast_rows: int = BROADCAST_SEEDS) -> DataFrame:
     """(query id, subject id, seeds): pairs that share k-mers, with the number of distinct shared ones.
 
-    ``frequent``: leave out seeds found in more subjects than this (null: none are left out)."""
-    q = queries.select(query_id, F.explode(F.array_distinct(kmers(F.col(query_text), k))).alias("seed"))
-    s = subjects.select(subject_id, F.explode(F.array_distinct(kmers(F.col(subject_text), k))).alias("seed"))
+    ``frequent``: leave out seeds found in more subjects than this (null: none are left out).
+
+    Subjects' windows are met with the queries' seeds before anything is shuffled, so only shared seeds travel;
+    they are dealt by subject, and counting pairs needs no second shuffle. The query side is counted first and
+    broadcast only up to ``broadcast_rows`` rows."""
+    q = queries.select(query_id, F.explode(kmers(F.col(query_text), k)).alias("seed")).distinct()
+    hint = (lambda d: F.broadcast(d)) if q.limit(broadcast_rows + 1).count() <= broadcast_rows else (lambda d: d.hint("merge"))
+    s = subjects.select(subject_id, F.explode(kmers(F.col(subject_text), k)).alias("seed"))
+    s = s.join(hint(q.select("seed").distinct()), "seed", "left_semi").repartition(subject_id).distinct()
     if frequent is not None:
         s = s.join(s.groupBy("seed").count().filter(F.col("count") <= frequent).select("seed"), "seed", "left_semi")
-    return q.join(s, "seed").groupBy(query_id, subject_id).agg(F.count(F.lit(1)).alias("seeds"))
+    return s.join(hint(q), "seed").groupBy(query_id, subject_id).agg(F.count(F.lit(1)).alias("seeds"))
+
+
+def best_subject(pairs: DataFrame, query_id: str, subject_id: str, score: str = "seeds") -> DataFrame:
+    """The pair of each query with the highest score, then the smallest subject; combined map-side."""
+    best = F.min(F.struct((-F.col(score)).alias("neg"), F.col(subject_id)))
+    return pairs.groupBy(query_id).agg(best.alias("b")).select(query_id, F.col(f"b.{subject_id}").alias(subject_id), (-F.col("b.neg")).alias(score))
+
+
+def unseen(keys: DataFrame, seen: DataFrame, key: str, broadcast_rows: int = BROADCAST_SEEDS) -> DataFrame:
+    """Rows of ``keys`` whose key is not among ``seen``. The keys are counted and, if they are few, meet ``seen`` before its shuffle."""
+    if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        seen = seen.join(F.broadcast(keys.select(key)), key, "left_semi")
+    return keys.join(seen.distinct(), key, "left_anti")
 
 
 def unique_key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -196,6 +196,20 @@ def position_counts(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return spread.groupBy(*keys, "len", "pos", "letter").agg(F.count(F.lit(1)).alias("n"))
 
 
+def motif_bits(df: DataFrame, keys: Sequence[str], seq: str, background: DataFrame) -> DataFrame:
+    """Long motif matrix (keys, len, pos, letter, bits): -p log2 p of each letter's count over its background share; letter X has the mean of the bits.
+
+    ``background``: (letter), one row an occurrence. Letters that are not in it are left out; letters that a position lacks have no row (0 bits)."""
+    g = background.groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
+    total = g.agg(F.sum("n").alias("all"))
+    share = g.join(F.broadcast(total)).select("letter", (F.col("n") / F.col("all")).alias("share"))  # one row
+    counts = position_counts(df, keys, seq).join(share, "letter").withColumn("w", F.col("n") / F.col("share"))
+    at = [*keys, "len", "pos"]
+    p = counts.join(counts.groupBy(*at).agg(F.sum("w").alias("sum")), at).withColumn("p", F.col("w") / F.col("sum")).withColumn("bits", -F.col("p") * F.log2("p"))
+    mean = p.groupBy(*at).agg(F.sum(F.col("bits") * F.col("p")).alias("bits")).withColumn("letter", F.lit("X"))
+    return p.select(*at, "letter", "bits").unionByName(mean.select(*at, "letter", "bits"))
+
+
 def impute_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     means = df.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]).first().asDict()
     return df.withColumns({c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(means[c])) for c in columns})

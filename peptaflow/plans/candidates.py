@@ -99,9 +99,12 @@ def inframe_windows(records: DataFrame, proteome: DataFrame) -> DataFrame:
 
 
 def frameshift_regions(records: DataFrame) -> DataFrame:
-    """Adds the genome regions (lead and tail, 0-based half open) whose bases, with the inserted ones between, are translated."""
+    """Adds the genome regions (lead and tail, 0-based half open) whose bases, with the inserted ones between, are translated.
+
+    Deletions and insertions only: records that replace bases by as many others shift no frame and are left out."""
     d = records.filter(F.col("consequence") == "frameshift_variant").withColumn("phase", F.pmod(F.col("cds_pos") - 1, F.lit(3)))
     deletion = (F.length("ref") > F.length("alt")) | (F.col("alt") == "-")
+    d = d.filter(deletion | (F.length("ref") < F.length("alt")) | (F.col("ref") == "-"))
     reach = F.coalesce("cdna_end", "cdna_start") - F.col("cdna_start")
     tail = F.when(deletion, F.col("end")).otherwise(F.col("start"))
     return d.withColumns({"lead_start": F.greatest(F.col("start") - F.col("phase"), F.lit(0)), "lead_end": F.col("start"), "tail_start": tail, "tail_end": F.greatest(F.col("start") + reach - F.col("phase"), tail), "insert": F.when(deletion, "").otherwise(F.col("alt"))})

@@ -91,13 +91,15 @@ def gather(fact: DataFrame, stability: DataFrame, immunogenicity: DataFrame, pre
     return joins.lookup(d, pr, ["ET_pep", "_n"], {"mhcflurry_aff_percentile": None, "mhcflurry_presentation_percentile": None}, n.between(5, 15)).drop("_n")
 
 
-def variant_evidence(records: DataFrame, vcf: DataFrame) -> DataFrame:
-    """Adds to (chrom, pos, ref, alts) the greatest quality and depths over leniently equal variants of the same trimmed position, 0 if none."""
+def variant_evidence(records: DataFrame, vcf: DataFrame, window: int = 6) -> DataFrame:
+    """Adds to (chrom, pos, ref, alts) the greatest quality and depths over leniently equal variants of the same trimmed position, 0 if none.
+
+    Positions are 0-based. Only variants count whose bases reach into the ``window`` positions around the record."""
     trim = lambda df, p: df.select("*", numbers.trimmed_alleles(F.col("pos"), F.col("ref"), F.col("alts")).alias("_v")).select(*[c for c in df.columns if c not in ("pos", "ref", "alts")], *[F.col(f"_v.{k}").alias(f"{p}{k}") for k in ("pos", "ref", "alts")])
-    a = trim(records.withColumn("_id", F.xxhash64("chrom", "pos", "ref", F.concat_ws(",", "alts"))), "_a_")
-    b = trim(vcf.select("chrom", "pos", "ref", "alts", "qual", "ref_depth", "alt_depth"), "_b_").withColumnRenamed("chrom", "_c")
-    same = (F.col("chrom") == F.col("_c")) & (F.col("_a_pos") == F.col("_b_pos")) & numbers.lenient_equal(F.col("_a_ref"), F.col("_a_alts"), F.col("_b_ref"), F.col("_b_alts"))
-    met = a.select("_id", "chrom", "_a_pos", "_a_ref", "_a_alts").distinct().join(b, same)
+    a = trim(records.withColumn("_at", F.col("pos")).withColumn("_id", F.xxhash64("chrom", "pos", "ref", F.concat_ws(",", "alts"))), "_a_")
+    b = trim(vcf.select("chrom", "pos", "ref", "alts", "qual", "ref_depth", "alt_depth", F.col("pos").alias("_from"), (F.col("pos") + F.length("ref")).alias("_to")), "_b_").withColumnRenamed("chrom", "_c")
+    same = (F.col("chrom") == F.col("_c")) & (F.col("_a_pos") == F.col("_b_pos")) & numbers.lenient_equal(F.col("_a_ref"), F.col("_a_alts"), F.col("_b_ref"), F.col("_b_alts")) & (F.col("_from") < F.col("_at") + 1 + window) & (F.col("_to") > F.col("_at") + 1 - window)
+    met = a.select("_id", "_at", "chrom", "_a_pos", "_a_ref", "_a_alts").distinct().join(b, same)
     top = met.groupBy("_id").agg(*[F.greatest(F.lit(0.0), F.max(F.col(c).cast("double"))).alias(c) for c in ("qual", "ref_depth", "alt_depth")])
     out = records.withColumn("_id", F.xxhash64("chrom", "pos", "ref", F.concat_ws(",", "alts"))).join(top, "_id", "left").drop("_id")
     return out.fillna(0.0, ["qual", "ref_depth", "alt_depth"])
@@ -123,15 +125,33 @@ def presentation_information(fact: DataFrame, motifs: DataFrame, pep: str, mhc:
     return spread.join(m, [mhc, "len", "pos", "letter"], "left").groupBy(pep, mhc).agg(F.sum(F.coalesce("bits", F.lit(0.0))).alias("info"))
 
 
+def counts_below(values: DataFrame, marks: DataFrame, group: str, value: str, mark: str, less: str, rest: str) -> DataFrame:
+    """Adds to ``marks`` how many ``values`` of the group are below the mark, and how many are not; by a running count, so no group is paired with itself."""
+    v = values.select(group, F.col(value).cast("double").alias("_x"), F.lit(1).alias("_v"))
+    levels = v.groupBy(group, "_x").agg(F.sum("_v").alias("_n"))
+    asked = marks.select(group, F.col(mark).cast("double").alias("_x")).distinct().withColumn("_n", F.lit(0))
+    # one row a level: the levels of a group are summed in order, not the rows
+    steps = levels.select(group, "_x", "_n").unionByName(asked.select(group, "_x", F.col("_n").cast("long"))).groupBy(group, "_x").agg(F.sum("_n").alias("_n"))
+    w = Window.partitionBy(group).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    below = steps.withColumn(less, F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    total = levels.groupBy(group).agg(F.sum("_n").alias("_all"))
+    met = marks.join(below.drop("_n"), (marks[group].eqNullSafe(below[group])) & (F.col(mark).cast("double") == F.col("_x"))).drop(below[group], "_x")
+    return met.join(total, group).withColumn(rest, F.col("_all") - F.col(less)).drop("_all")
+
+
 def expansion(fact: DataFrame) -> DataFrame:
-    """Rows whose ET differs from MT, with the changes marked and the wildcard form, and how it compares within its wildcard."""
+    """Rows whose ET differs from MT, with the changes marked and the wildcard form, and how it compares within its wildcard.
+
+    NmAff: mean of the least affinities of the wildcard's ET peptides; n_less, n_not_less: how many of them bind
+    below the MT peptide's least affinity and how many do not; n_less_et, n_not_less_et: the same for the ET peptide's."""
     d = fact.filter(F.col("ET_pep") != F.col("MT_pep")).withColumn("EXpep", mark_changes(F.col("ET_pep"), F.col("MT_pep")))
     d = d.withColumn("wild", wildcard(F.col("EXpep")))
     et = d.groupBy("wild", "ET_pep").agg(F.min("ET_BindAff").alias("least"))
     w = et.groupBy("wild").agg(F.avg("least").alias("NmAff"))
-    mine = d.select("wild", "ET_pep", "MT_pep", "MT_BindAff").distinct()
-    versus = mine.join(et.select("wild", F.col("least").alias("other")), "wild").groupBy("wild", "ET_pep", "MT_pep").agg(F.count_if(F.col("other") < F.col("MT_BindAff")).alias("n_less"), F.count_if(F.col("other") >= F.col("MT_BindAff")).alias("n_not_less"))
-    return d.join(w, "wild").join(versus, ["wild", "ET_pep", "MT_pep"])
+    mt = d.groupBy("wild", "MT_pep").agg(F.min("MT_BindAff").alias("mt_least"))
+    versus_mt = counts_below(et, mt, "wild", "least", "mt_least", "n_less", "n_not_less").drop("mt_least")
+    versus_et = counts_below(et, et.withColumnRenamed("least", "et_least"), "wild", "least", "et_least", "n_less_et", "n_not_less_et").drop("et_least")
+    return d.join(w, "wild").join(versus_mt, ["wild", "MT_pep"]).join(versus_et, ["wild", "ET_pep"])
 
 
 def tested_flags(df: DataFrame) -> Column:
@@ -211,15 +231,14 @@ def best_row_join(truth: DataFrame, features: DataFrame, order: Sequence[Column
     return truth.join(best.drop(*[c for c in best.columns if c in truth.columns and c != "MT_pep"]), "MT_pep", "left")
 
 
-def tcr_pairs(alpha: DataFrame, beta: DataFrame, peptides: DataFrame) -> DataFrame:
-    """Every alpha with every beta chain and peptide (peptides that equal their wild type are left out); the chains are small tables."""
+def tcr_pairs(alpha: DataFrame, beta: DataFrame, peptides: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Every alpha with every beta chain and peptide (peptides that equal their wild type are left out).
+
+    The chains are those of one sample; their pairs are counted first, and more than ``most`` are refused."""
+    n = alpha.limit(most + 1).count() * beta.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"{n} or more pairs of chains, at most {most} are paired with every peptide")
     p = peptides.filter(~F.col("ET_pep").eqNullSafe(F.col("WT_pep"))).select("ET_pep", "MHC")
     a = alpha.select(*[F.col(c).alias(f"a_{c}") for c in alpha.columns])
     b = beta.select(*[F.col(c).alias(f"b_{c}") for c in beta.columns])
-    return p.crossJoin(a).crossJoin(b)
-
-
-def recognition_score(fact: DataFrame) -> Column:
-    """Heuristic probability 1 / (1 + 2^-x) of a linear score x of log affinity, stability and agretopicity; the inner quotient by log 10 is kept as published."""
-    x = -F.log10("MT_BindAff") + F.log(F.col("BindStab") / F.log(F.lit(10.0))) - F.log10(F.greatest(F.col("Agretopicity"), F.lit(1e-9)))
-    return numbers.logistic2(x)
+    return p.crossJoin(F.broadcast(a.crossJoin(F.broadcast(b))))  # at most ``most`` rows

@@ -94,9 +94,10 @@ def multi_hop_chain(t: Tables) -> DataFrame:
     return once.groupBy("n_name").agg(F.greatest(part("F"), part("O")).alias("best"))
 
 
-@query("SELECT r_name, n_name, p_partkey FROM region, nation, part WHERE p_size = 1")
+@query("SELECT r_name, n_name, c_mktsegment FROM region, nation, (SELECT DISTINCT c_mktsegment FROM customer)")
 def cross_pairs(t: Tables) -> DataFrame:
-    return t.region.select("r_name").crossJoin(t.nation.select("n_name")).crossJoin(t.part.filter("p_size = 1").select("p_partkey"))
+    """Three small sides: every region with every nation and market segment."""
+    return t.region.select("r_name").crossJoin(t.nation.select("n_name")).crossJoin(t.customer.select("c_mktsegment").distinct())
 
 
 @query("""SELECT p_partkey, max(o_totalprice) AS best, count(o_totalprice) AS n FROM part

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..functions import sequences as S
 from ..operators import joins, statistics
+from . import features, scores
 from .registry import Tables, query
 
 
@@ -32,9 +33,8 @@ def kmers(t: Tables) -> DataFrame:
 n AS (SELECT DISTINCT substr(text, CAST(i AS BIGINT), 7) AS kmer FROM (SELECT text, unnest(generate_series(1, length(text) - 6)) AS i FROM conversations))
 SELECT kmer, min(item_id) AS item_id FROM k WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kmer = k.kmer) GROUP BY kmer""")
 def kmer_anti(t: Tables) -> DataFrame:
-    mine = t.benchmark.select("item_id", F.explode(S.kmers(F.col("text"), 7)).alias("kmer"))
-    normal = t.conversations.select(F.explode(S.kmers(F.col("text"), 7)).alias("kmer"))
-    return mine.groupBy("kmer").agg(F.min("item_id").alias("item_id")).join(normal, "kmer", "left_anti")
+    mine = t.benchmark.select("item_id", F.explode(S.kmers(F.col("text"), 7)).alias("kmer")).groupBy("kmer").agg(F.min("item_id").alias("item_id"))
+    return joins.unseen(mine, t.conversations.select(F.explode(S.kmers(F.col("text"), 7)).alias("kmer")), "kmer")
 
 
 _SEEDS = """SELECT DISTINCT {id} AS {id}, substr(text, CAST(i AS BIGINT), 12) AS seed FROM (SELECT {id}, text, unnest(generate_series(1, length(text) - 11)) AS i FROM {t})"""
@@ -45,18 +45,19 @@ p AS (SELECT item_id, doc_id, count(*) AS seeds FROM q JOIN s USING (seed) GROUP
 SELECT item_id, doc_id, seeds FROM p QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY seeds DESC, doc_id) = 1""")
 def seed_join(t: Tables) -> DataFrame:
     p = joins.seed_pairs(t.benchmark, t.documents, "item_id", "text", "doc_id", "text", 12)
-    return joins.first_by(p, ["item_id"], [F.desc("seeds"), "doc_id"])
+    return joins.best_subject(p, "item_id", "doc_id")
 
 
-@query("""SELECT a.p_partkey, CAST(hamming(substr(a.p_name, 1, 7), substr(a.p_type || '.......', 1, 7)) AS INTEGER) AS d FROM part a""")
+@query("""SELECT p_partkey, CAST(hamming(rpad(p_name, CAST(greatest(length(p_name), length(p_type)) AS INTEGER), '.'), rpad(p_type, CAST(greatest(length(p_name), length(p_type)) AS INTEGER), '.')) AS INTEGER) AS d FROM part""")
 def hamming(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", S.hamming(F.substring("p_name", 1, 7), F.substring(F.concat("p_type", F.lit(".......")), 1, 7)).alias("d"))
+    n = F.greatest(F.length("p_name"), F.length("p_type"))
+    return t.part.select("p_partkey", S.hamming(F.rpad("p_name", n, F.lit(".")), F.rpad("p_type", n, F.lit("."))).alias("d"))
 
 
-@query("""WITH w AS (SELECT DISTINCT substr(p_name, 1, 5) AS w FROM part), a AS (SELECT unnest(string_split('ARNDCQEGHILKMFPSTWYV', '')) AS r), i AS (SELECT unnest(range(1, 6)) AS i)
-SELECT w, count(*) AS n, min(s) AS first, max(s) AS last FROM (SELECT DISTINCT w, substr(w, 1, CAST(i AS BIGINT) - 1) || r || substr(w, CAST(i AS BIGINT) + 1) AS s FROM w, a, i) GROUP BY w""")
+@query("""WITH w AS (SELECT DISTINCT p_name AS w FROM part), a AS (SELECT unnest(string_split('ARNDCQEGHILKMFPSTWYV', '')) AS r), i AS (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM w)
+SELECT w, count(*) AS n, min(s) AS first, max(s) AS last FROM (SELECT DISTINCT w, substr(w, 1, CAST(i AS BIGINT) - 1) || r || substr(w, CAST(i AS BIGINT) + 1) AS s FROM i, a) GROUP BY w""")
 def neighbours(t: Tables) -> DataFrame:
-    w = t.part.select(F.substring("p_name", 1, 5).alias("w")).distinct()
+    w = t.part.select(F.col("p_name").alias("w")).distinct()
     s = w.select("w", F.explode(S.neighbours(F.col("w"))).alias("s"))
     return s.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("first"), F.max("s").alias("last"))
 
@@ -104,14 +105,44 @@ def foreignness(t: Tables) -> DataFrame:
     return t.embeddings.select("label", r.alias("r")).groupBy("label").agg(F.round(F.max("r"), 6).alias("best"), F.round(F.min("r"), 6).alias("least"))
 
 
-@query("""SELECT p_partkey, CASE WHEN length(p_name) = length(p_type) THEN lower(p_name) ELSE lower(p_type) END AS marked FROM part WHERE length(p_name) <> length(p_type)""")
+@query("""SELECT p_partkey, CASE WHEN length(p_name) = length(p_type) THEN
+  array_to_string([CASE WHEN p_type[i] = p_name[i] THEN p_type[i] ELSE lower(p_type[i]) END FOR i IN range(1, length(p_type) + 1)], '') ELSE lower(p_type) END AS marked,
+  array_to_string([CASE WHEN upper(p_name)[i] = upper(reverse(p_name))[i] THEN upper(p_name)[i] ELSE lower(p_name[i]) END FOR i IN range(1, length(p_name) + 1)], '') AS turned FROM part""")
 def mark_changes(t: Tables) -> DataFrame:
-    return t.part.filter(F.length("p_name") != F.length("p_type")).select("p_partkey", S.mark_changes(F.col("p_type"), F.col("p_name")).alias("marked"))
+    return t.part.select("p_partkey", S.mark_changes(F.col("p_type"), F.col("p_name")).alias("marked"), S.mark_changes(F.upper("p_name"), F.upper(F.reverse("p_name"))).alias("turned"))
 
 
-@query("""SELECT event_id, lower(printf('%s', CASE WHEN event_id < 36 THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', event_id + 1, 1) ELSE
-(CASE WHEN event_id >= 46656 THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', event_id // 46656 + 1, 1) ELSE '' END) ||
-(CASE WHEN event_id >= 1296 THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', (event_id // 1296) % 36 + 1, 1) ELSE '' END) ||
-substr('0123456789abcdefghijklmnopqrstuvwxyz', (event_id // 36) % 36 + 1, 1) || substr('0123456789abcdefghijklmnopqrstuvwxyz', event_id % 36 + 1, 1) END)) AS code FROM events WHERE event_id < 1679616""")
+_DIGITS = " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((event_id // {36**d}) % 36 AS BIGINT) + 1, 1)" for d in range(12, -1, -1))
+
+
+@query(f"SELECT event_id, CASE WHEN event_id = 0 THEN '0' ELSE ltrim({_DIGITS}, '0') END AS code FROM events")
 def base36_ordinal(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.lower(S.base36(F.col("event_id"))).alias("code"))
+
+
+@query("""WITH c AS (SELECT p_brand, length(p_name) AS len, unnest(range(0, length(p_name))) AS pos, p_name FROM part),
+l AS (SELECT p_brand, len, pos, substr(p_name, CAST(pos + 1 AS BIGINT), 1) AS letter FROM c),
+g AS (SELECT letter, count(*) / (SELECT count(*) FROM l)::DOUBLE AS share FROM l GROUP BY letter),
+n AS (SELECT p_brand, len, pos, letter, count(*) / any_value(share) AS w FROM l JOIN g USING (letter) GROUP BY ALL),
+p AS (SELECT *, w / sum(w) OVER (PARTITION BY p_brand, len, pos) AS q FROM n)
+SELECT p_brand, CAST(len AS INTEGER) AS len, CAST(pos AS INTEGER) AS pos, letter, round(-q * log2(q), 8) + 0.0 AS bits FROM p
+UNION ALL SELECT p_brand, CAST(len AS INTEGER), CAST(pos AS INTEGER), 'X', round(sum(-q * log2(q) * q), 8) + 0.0 FROM p GROUP BY p_brand, len, pos""")
+def motif_bits(t: Tables) -> DataFrame:
+    background = t.part.select(F.explode(S.letters(F.col("p_name"))).alias("letter"))
+    return statistics.motif_bits(t.part, ["p_brand"], "p_name", background).withColumn("bits", F.round("bits", 8) + 0.0)
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(-4.1922 + 2.2958 * log10(l_quantity + 0.1) - 1.8478 * log10(l_extendedprice) + 0.7698 * ln((l_tax + 0.5) / ln(10)), 8) AS NeoScore,
+round(-1.2364 - 1.2146 * log10(l_extendedprice) + 0.9903 * log10(l_tax + 0.5), 8) AS AbbrevNeoScore FROM lineitem""")
+def neo_scores(t: Tables) -> DataFrame:
+    d = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("a"), (F.col("l_tax").cast("double") + 0.5).alias("s"))
+    s = scores.neo_scores(d, "q", "a", "s")
+    return s.select("l_orderkey", "l_linenumber", F.round("NeoScore", 8).alias("NeoScore"), F.round("AbbrevNeoScore", 8).alias("AbbrevNeoScore"))
+
+
+@query("""WITH e AS (SELECT l_returnflag AS wild, l_partkey AS et, min(l_extendedprice) AS least FROM lineitem GROUP BY ALL),
+m AS (SELECT wild, et, least, CAST(rank() OVER (PARTITION BY wild ORDER BY least) - 1 AS BIGINT) AS n_less_et, count(*) OVER (PARTITION BY wild) AS n FROM e)
+SELECT wild, et, n_less_et, n - n_less_et AS n_not_less_et FROM m""")
+def wildcard_et_counts(t: Tables) -> DataFrame:
+    e = t.lineitem.groupBy(F.col("l_returnflag").alias("wild"), F.col("l_partkey").alias("et")).agg(F.min("l_extendedprice").alias("least"))
+    return features.counts_below(e, e.select("wild", "et", F.col("least").alias("at")), "wild", "least", "at", "n_less_et", "n_not_less_et").select("wild", "et", "n_less_et", "n_not_less_et")

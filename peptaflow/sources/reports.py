@@ -19,10 +19,18 @@ JUNCTION = ["chrom", "intron_start", "intron_stop", "strand", "intron_motif", "a
 CHROMOSOMES = [f"chr{c}" for c in [*range(1, 23), "X", "Y"]]
 
 
+def _place() -> list[Column]:
+    """Columns that put the rows of a file source in their physical order: file, split, and row within the split."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no from 1, value). A file's lines are numbered within one row, so this is for files of moderate size, each read whole by one task."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "value"))
-    return whole.select("file", (F.col("i") + 1).alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    """(file, line_no from 1, value). Files are split as usual; numbers come from counts per split, so a large file needs no single task."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(*_place(), F.regexp_replace("value", r"\r$", "").alias("value"))
+    splits = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("file", "block", (F.coalesce(before, F.lit(0)) + 1 - F.col("first")).alias("shift"))
+    return raw.join(starts, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line_no"), "value")
 
 
 def _tokens(lines: DataFrame) -> DataFrame:
@@ -32,8 +40,9 @@ def _tokens(lines: DataFrame) -> DataFrame:
 def read_affinity(spark: SparkSession, path: str) -> DataFrame:
     """Affinity report: indented lines, the header line starts with Pos and has 15 or 17 columns, all headers agree.
 
-    Rows have one token less than the header (no bind level: NB) or one more (an arrow before the level); the column HLA becomes MHC."""
-    rows = _tokens(spark.read.text(path))
+    Rows have one token less than the header (no bind level: NB) or one more (an arrow before the level); the
+    column HLA becomes MHC; file and line_no tell where a row stood."""
+    rows = _tokens(numbered_lines(spark, path))
     headers = [r["t"] for r in rows.filter(F.col("t")[0] == "Pos").select("t").distinct().limit(2).collect()]
     if len(headers) != 1 or len(headers[0]) not in (15, 17):
         raise ValueError(f"one header of 15 or 17 columns is expected, found {headers}")
@@ -43,12 +52,13 @@ def read_affinity(spark: SparkSession, path: str) -> DataFrame:
     cell = lambda i: F.when(good, F.try_element_at("t", F.lit(i + 1))).otherwise(F.raise_error(F.concat(F.lit("invalid line: "), "value")).cast("string"))
     cols = [(mask_residues(cell(i)) if i == 2 else cell(i)).alias(c) for i, c in enumerate(names[:-1])]
     level = F.when(F.size("t") == n - 1, "NB").otherwise(F.try_element_at("t", F.lit(n + 1)))
-    return data.select(*cols, level.alias(names[-1]))
+    return data.select(*cols, level.alias(names[-1]), "file", "line_no")
 
 
 def affinity_lookup(report: DataFrame) -> DataFrame:
-    """(pep, mhc, aff), one row a key."""
-    return report.groupBy(F.col("Peptide").alias("pep"), F.col("MHC").alias("mhc")).agg(F.max(F.col("`Aff(nM)`").cast("double")).alias("aff"))
+    """(pep, mhc, aff): the last row of a key counts."""
+    rows = report.select("file", "line_no", F.col("Peptide").alias("pep"), F.col("MHC").alias("mhc"), F.col("`Aff(nM)`").cast("double").alias("aff"))
+    return last_wins(rows, ["pep", "mhc"], ["file", "line_no"])
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -76,9 +86,9 @@ def read_immunogenicity(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_presentation(spark: SparkSession, path: str) -> DataFrame:
-    """(pep, mhc, aff_percentile, presentation_percentile) of a CSV; among repeated keys the greatest row counts."""
-    d = spark.read.csv(path, header=True).select(F.col("peptide").alias("pep"), norm_mhc(F.col("best_allele")).alias("mhc"), F.col("affinity_percentile").try_cast("double").alias("aff_percentile"), F.col("presentation_percentile").try_cast("double").alias("presentation_percentile"))
-    return d.groupBy("pep", "mhc").agg(F.max(F.struct("aff_percentile", "presentation_percentile")).alias("v")).select("pep", "mhc", "v.*")
+    """(pep, mhc, aff_percentile, presentation_percentile) of a CSV; the last row of a key counts."""
+    d = spark.read.csv(path, header=True).select(*_place(), F.col("peptide").alias("pep"), norm_mhc(F.col("best_allele")).alias("mhc"), F.col("affinity_percentile").try_cast("double").alias("aff_percentile"), F.col("presentation_percentile").try_cast("double").alias("presentation_percentile"))
+    return last_wins(d, ["pep", "mhc"], ["file", "block", "at"])
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
@@ -103,9 +113,9 @@ def read_table(spark: SparkSession, path: str, sep: str | None = None, null: str
 
 
 def read_abundance(spark: SparkSession, path: str) -> DataFrame:
-    """(transcript, tpm): versions are cut; of repeated transcripts the first by full id counts."""
-    d = spark.read.csv(path, header=True, sep="\t").select("target_id", F.col("tpm").try_cast("double").alias("tpm"))
-    return d.groupBy(strip_version(F.col("target_id")).alias("transcript")).agg(F.min_by("tpm", "target_id").alias("tpm"))
+    """(transcript, tpm): versions are cut; of repeated transcripts the first row counts."""
+    d = spark.read.csv(path, header=True, sep="\t").select(*_place(), "target_id", F.col("tpm").try_cast("double").alias("tpm"))
+    return d.groupBy(strip_version(F.col("target_id")).alias("transcript")).agg(F.min_by(F.struct("tpm"), F.struct("file", "block", "at")).alias("v")).select("transcript", F.col("v.tpm").alias("tpm"))
 
 
 def read_junctions(spark: SparkSession, path: str, reads: int = 0) -> DataFrame:

@@ -189,3 +189,78 @@ def test_base36_of_ids_with_more_than_four_digits(spark, tmp_path):
     spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
     got = {r["event_id"]: r["code"] for r in QUERIES["base36_ordinal"](spark, str(tmp_path)).collect()}
     assert set(got) == set(ids) and all(int(code, 36) == i for i, code in got.items())
+
+
+def test_probability_of_tiers(spark):
+    """Against a plain reading of the rules, row by row."""
+    import itertools
+    import math
+
+    from peptaflow.plans import scores
+
+    rows = []
+    for i, (et, stab, q, f, a, level, kind, alt) in enumerate(itertools.product((10.0, 100.0, 500.0), (0.1, 2.0), (0.5, 20.0, 50.0), (0.0, 1e-9, 1.0), (0.05, 0.2, 0.5), ("SB", "WB", "NB"), ("SNV_D1", "FUS_R2"), (2, 30))):
+        rows.append((i, et, et / 2, stab, q, f, a, level, kind, 10, alt))
+    d = spark.createDataFrame(rows, "i long, ET_BindAff double, MT_BindAff double, BindStab double, Quantification double, Foreignness double, Agretopicity double, BindLevel string, Identity string, DNA_refDP int, DNA_altDP int")
+    for strength, passed in ((0, 0), (-1, 1), (1, 0)):
+        got = {r["i"]: r for r in scores.immunogenic_probability(d, strength, passed=passed).collect()}
+        for i, et, mt, stab, q, f, a, level, kind, ref, alt in rows:
+            small = kind.startswith("SNV_")
+            unforeign = f <= 1e-16 and a >= 0.1
+            t2, t1 = (et >= 231) + (stab <= 0.13) + (q <= 1), (et >= 21) + (stab <= 1.4) + (q <= 11)
+            t0 = (et >= 21) + (stab <= 1.4) + (q <= 33) + unforeign
+            dna = ((alt < 5) + (alt < (ref + alt) * 0.1)) * small * (1 - (passed & 1))
+            bind = {"SB": 0, "WB": 3, "NB": 6}[level]
+            x = 21 / (21 + mt) + max(int(t0 == 0), strength) - (f <= 1e-16) * (strength < 0) * 3 - t1
+            x -= 4 * (et >= 231) + 3 * (stab <= 0.13) + 5 * (q <= 1) + (dna > 0) * 3 + bind
+            x -= (f <= 1e-8 and a >= math.sqrt(0.1)) * (t2 > 0 or bind > 0 or dna > 0)
+            x += -1.5 if small else -4.5
+            r = got[i]
+            assert (r["PresentationPreFilters"], r["PresentationFilters"], r["RecognitionalFilters"]) == (t2, t1, t0)
+            assert abs(r["Probability"] - 1 / (1 + 2.0**-x)) < 1e-12
+
+
+def test_immuno_strength(spark):
+    from peptaflow.plans import scores
+
+    schema = "ET_BindAff double, MT_BindAff double, BindStab double, Quantification double, Foreignness double, Agretopicity double, BindLevel string, Identity string, DNA_refDP int, DNA_altDP int, RNA_normAD double"
+    made = lambda known, foreign: spark.createDataFrame([(10.0, 10.0, 2.0, 50.0, 0.0 if k else 1.0, 0.5, "SB", "SNV_D1", 1, 9, v) for k, part in ((True, known), (False, foreign)) for v in part], schema)
+    low, high = [float(i) for i in range(20)], [100.0 + i for i in range(20)]
+    assert [scores.immuno_strength(made(*x)) for x in ((low, high), (high, low), (low, low), (low, []))] == [-1, 1, 0, 0]
+
+
+def test_expansion_counts(spark):
+    rows = [("ACD", "AKD", 5.0, 7.0), ("AWD", "AKD", 9.0, 7.0), ("AYD", "AKD", 7.0, 7.0), ("AKD", "AKD", 1.0, 7.0), ("ACD", "AKD", 6.0, 7.0)]
+    e = P.expansion(spark.createDataFrame(rows, "ET_pep string, MT_pep string, ET_BindAff double, MT_BindAff double")).collect()
+    assert len(e) == 4 and {r["NmAff"] for r in e} == {7.0}
+    assert {(r["ET_pep"], r["n_less"], r["n_not_less"], r["n_less_et"], r["n_not_less_et"]) for r in e} == {("ACD", 1, 2, 0, 3), ("AWD", 1, 2, 2, 1), ("AYD", 1, 2, 1, 2)}
+
+
+def test_evidence_window_and_replacements(spark):
+    rec = spark.createDataFrame([("c1", 10, "A" * 30 + "G", ["A" * 30 + "T"])], "chrom string, pos long, ref string, alts array<string>")
+    vcf = spark.createDataFrame([("c1", 40, "G", ["T"], 60.0, 5, 9)], "chrom string, pos long, ref string, alts array<string>, qual double, ref_depth int, alt_depth int")
+    assert P.variant_evidence(rec, vcf).first()["qual"] == 0.0
+    assert P.variant_evidence(rec, vcf, 100).first()["qual"] == 60.0
+    ab = spark.createDataFrame([("T1", 5.0)], "transcript string, tpm double")
+    same = C.annotated_variants(lines(spark, [vep(15, "A/X", "frameshift_variant", "A/G", "chr1:100-101", "100/112", "30")]), ab)
+    assert C.frameshift_regions(same).count() == 0
+
+
+def test_windows_of_a_text(spark):
+    from peptaflow.functions import sequences as S
+
+    texts = ["abcdef", "ab", "", None, "a\nb\r🙂c🙂d", "漢字かな"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in d.select(S.kmers(F.col("t"), 3)).collect()] == [[t[i : i + 3] for i in range(len(t) - 2)] if t else [] for t in texts]
+
+
+def test_seed_pairs_either_way(spark):
+    from peptaflow.operators import joins
+
+    q = spark.createDataFrame([(1, "abcabcabc"), (2, "zzzz"), (3, None)], "q long, t string")
+    s = spark.createDataFrame([(i, x) for i, x in enumerate(["xxabcab", "bca", "zz", "", None, "abcabc"])], "s long, t string")
+    want = {(1, 0, 3), (1, 1, 1), (1, 5, 3)}
+    for most in (10**6, 0):
+        p = joins.seed_pairs(q, s, "q", "t", "s", "t", 3, broadcast_rows=most)
+        assert {(r["q"], r["s"], r["seeds"]) for r in p.collect()} == want
+        assert [tuple(r) for r in joins.best_subject(p, "q", "s").collect()] == [(1, 0, 3)]

@@ -96,3 +96,24 @@ def test_tables(spark, put, tmp_path):
     assert list((tmp_path / "top").glob("*.gz"))
     assert reports.formatted(spark.createDataFrame([(0.123456789,)], "x double"), {"x": "%.5f"}).first()["x"] == "0.12346"
     assert reports.missed_lookups(t, t.filter("a > 5"), ["a"]).count() == 1
+
+
+def test_last_and_first_rows(spark, put):
+    row = " 1 HLA-A02:01 ACDUF c 0 0 0 0 0 i SNV_D1 0.5 1.0 {}"
+    path = put("r2.txt", "\n".join([HEAD15, row.format("90.0"), row.format("20.0")]))
+    assert [r["aff"] for r in reports.affinity_lookup(reports.read_affinity(spark, path)).collect()] == [20.0]
+    f = reports.read_presentation(spark, put("f2.csv", "peptide,best_allele,affinity_percentile,presentation_percentile\nACD,HLA-A*02:01,9,9\nACD,HLA-A*02:01,1,2\n")).collect()
+    assert [tuple(r) for r in f] == [("ACD", "A0201", 1.0, 2.0)]
+    a = reports.read_abundance(spark, put("k2.tsv", "target_id\tlen\ttpm\nT1.9\t5\t9\nT1.12\t5\t2.5\nT3.1\t1\tx\nT3.2\t1\t4\n"))
+    assert {(r["transcript"], r["tpm"]) for r in a.collect()} == {("T1", 9.0), ("T3", None)}
+
+
+def test_line_numbers_over_splits(spark, put):
+    path = put("long.txt", "".join(f"line {i}\n" for i in range(1, 5001)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        n = reports.numbered_lines(spark, path)
+        assert n.count() == 5000 and n.filter("value <> concat('line ', line_no)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
