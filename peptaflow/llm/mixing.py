@@ -37,14 +37,20 @@ RIDGE = 1e-3
 CACHE_WORDS = 400_000
 #: Bits of a word's packed facts: tokens, then one for capitals, then the number of its set of terms.
 _TOKENS, _CAPITALS = (1 << 40) - 1, 40
+#: Common marks around words; none is part of a term.
+_MARKS = ".,;:!?'\"()[]{}<>#*|$%&-+=/"
 
 
 class RawTerms(Terms):
     """As Terms, for words as they stand between white space: lower-cased, punctuation apart."""
 
     def find(self, word: str) -> tuple[int, ...]:
-        low, find = word.lower(), super().find
-        return find(low) if low.isalnum() else tuple(i for w in _WORD.findall(low) for i in find(w))
+        low = word.lower()
+        if not low.isalnum():
+            low = low.strip(_MARKS)
+            if not low.isalnum():
+                return tuple(i for w in _WORD.findall(low) for i in super(RawTerms, self).find(w))
+        return super().find(low)
 
 
 class WordFacts:
@@ -104,7 +110,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     n = np.diff(kept[np.concatenate([[0], np.cumsum(size)])])
     coded = flat.filter(full).dictionary_encode()
     known = coded.dictionary.to_pylist()
-    if len(set(known)) < len(known) or any(w.split() != [w] for w in known):  # seen: white space left at the end of the last text
+    if len(set(known)) < len(known) or " ".join(known).split() != known:  # seen: white space left at the end of the last text
         words = [t.split() for t in texts.to_pylist()]
         n, coded = np.fromiter(map(len, words), np.int64, len(words)), pa.array(list(chain.from_iterable(words)), pa.large_string()).dictionary_encode()
         known = coded.dictionary.to_pylist()

@@ -22,6 +22,8 @@ WORD_START = "▁"
 CACHE_WORDS = 400_000
 #: Steps (node, character) remembered by an automaton.
 STEPS = 400_000
+#: Leading characters whose state is remembered.
+HEAD = 5
 
 
 class LongestMatch:
@@ -68,6 +70,7 @@ class LongestMatch:
             self.rest[node] = popped[node] + self.rest[fail[node]]
         self.steps: list[dict[str, tuple[int, int]]] = [{} for _ in go]
         self.room = STEPS
+        self.heads: dict[str, tuple[int, int]] = {}
 
     def _step(self, at: int, c: str) -> tuple[int, int]:
         """Next node and tokens popped on the way, following failure links; remembered while there is room."""
@@ -81,11 +84,25 @@ class LongestMatch:
             self.steps[start][c] = found
         return found
 
-    def count(self, text: str) -> int:
-        steps, at, n = self.steps, 0, 0
+    def _run(self, text: str, at: int = 0, n: int = 0) -> tuple[int, int]:
+        steps = self.steps
         for c in text:
             at, k = steps[at].get(c) or self._step(at, c)
             n += k
+        return at, n
+
+    def count(self, text: str) -> int:
+        head = text[:HEAD]
+        found = self.heads.get(head)
+        if found is None:
+            found = self._run(head)
+            if len(self.heads) < STEPS:
+                self.heads[head] = found
+        steps = self.steps
+        at, n = found
+        for c in text[HEAD:]:
+            at, k = steps[at].get(c) or self._step(at, c)
+            n += k
         return n + self.rest[at]
 
 

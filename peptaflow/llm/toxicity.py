@@ -31,6 +31,8 @@ LEAST_CHI2 = 30.0
 NEIGHBOURS, BLOCK = 15, 64
 #: Lengths of word beginnings.
 STEMS = range(3, 9)
+#: Leading letters whose beginnings are remembered.
+HEAD = 5
 _WORD = re.compile(r"\w+")
 CACHE_WORDS = 400_000
 
@@ -46,15 +48,33 @@ class Terms:
     def __init__(self, vocabulary: dict[str, int]):
         self.words = {t: i for t, i in vocabulary.items() if not t.endswith("-")}
         self.stems = {t[:-1]: i for t, i in vocabulary.items() if t.endswith("-")}
-        self.sizes: dict[str, list[int]] = {}  # lengths of the beginnings that share their first letters
-        for stem in self.stems:
-            self.sizes.setdefault(stem[: STEMS[0]], []).append(len(stem))
-        self.sizes = {head: sorted(set(n)) for head, n in self.sizes.items()}
+        self.longer: dict[str, list[int]] = {}  # lengths of the beginnings longer than HEAD that share its letters
+        for stem in sorted(self.stems, key=len):
+            if len(stem) > HEAD and len(stem) not in self.longer.setdefault(stem[:HEAD], []):
+                self.longer[stem[:HEAD]].append(len(stem))
+        self.heads: dict[str, tuple] = {}
+
+    def _head(self, head: str) -> tuple:
+        """Beginnings (length, id) within a word's first letters, and lengths of longer ones; nothing if there are none."""
+        short = tuple((n, self.stems[head[:n]]) for n in STEMS if n <= len(head) and head[:n] in self.stems)
+        found = (short, self.longer.get(head, ())) if short or head in self.longer else ()
+        if len(self.heads) >= CACHE_WORDS:
+            self.heads.clear()
+        self.heads[head] = found
+        return found
 
     def find(self, word: str) -> tuple[int, ...]:
         ids = () if (i := self.words.get(word)) is None else (i,)
-        for n in self.sizes.get(word[: STEMS[0]], ()):
-            if n >= len(word):
+        head = word[:HEAD]
+        found = self.heads.get(head)
+        if found is None:
+            found = self._head(head)
+        if not found:
+            return ids
+        size = len(word)
+        ids += tuple(i for n, i in found[0] if n < size)
+        for n in found[1]:
+            if n >= size:
                 break
             if (i := self.stems.get(word[:n])) is not None:
                 ids += (i,)

@@ -65,7 +65,7 @@ def test_terms_of_raw_words():
 
     vocabulary = {t: i for i, t in enumerate(["alp-", "alpha", "alph-", "be", "gam-", "gamm-", "gamma", "élan", "éla-", "12", "123-"])}
     raw, plain = RawTerms(vocabulary), TermIds(vocabulary)
-    for text in ["alpha", "Alpha,", "alphabet.", "be", "BE!!", "bee", "gamma-alpha", "gam", "ÉLAN", "élans", "12", "1234", "12-123", "", "--"]:
+    for text in ["alpha", "Alpha,", "alphabet.", "be", "BE!!", "bee", "gamma-alpha", "gam", "ÉLAN", "élans", "12", "1234", "12-123", "", "--", "(alpha),", "alpha_", "_alpha.", "\"gamma's\"", "..be"]:
         import re
 
         assert set(raw.find(text)) == {i for w in re.findall(r"\w+", text.lower()) for i in plain[w]}, text
