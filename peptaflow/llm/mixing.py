@@ -34,7 +34,7 @@ STEPS, TOLERANCE = 40, 1e-3
 STYLE = 8
 #: Misfits are weighed by the inverse of sum(tokens p p') with this share of its mean diagonal added, so a domain without mass cannot rule the fit.
 RIDGE = 1e-3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Bits of a word's packed facts: tokens, then one for capitals, then the number of its set of terms.
 _TOKENS, _CAPITALS = (1 << 40) - 1, 40
 #: Common marks around words; none is part of a term.
