@@ -34,7 +34,8 @@ STEPS, TOLERANCE = 40, 1e-3
 STYLE = 8
 #: Misfits are weighed by the inverse of sum(tokens p p') with this share of its mean diagonal added, so a domain without mass cannot rule the fit.
 RIDGE = 1e-3
-CACHE_WORDS = 1_000_000
+#: Words that a worker remembers; more where it holds no other operator's words, as in the registered query.
+CACHE_WORDS, QUERY_CACHE_WORDS = 400_000, 1_000_000
 #: Bits of a word's packed facts: tokens, then one for capitals, then the number of its set of terms.
 _TOKENS, _CAPITALS = (1 << 40) - 1, 40
 #: Common marks around words; none is part of a term.
@@ -210,12 +211,12 @@ def quality_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 _FACTS: dict[int, WordFacts] = {}
 
 
-def facts_of(model: DomainModel, pieces: tuple[str, ...]) -> WordFacts:
+def facts_of(model: DomainModel, pieces: tuple[str, ...], most: int = CACHE_WORDS) -> WordFacts:
     """This worker's facts of words for a model and a vocabulary."""
-    key = hash((tuple(model.vocabulary), pieces))
+    key = hash((tuple(model.vocabulary), pieces, most))
     if key not in _FACTS:
         _FACTS.clear()
-        _FACTS[key] = WordFacts(counter(pieces), model.vocabulary)
+        _FACTS[key] = WordFacts(counter(pieces), model.vocabulary, most)
     return _FACTS[key]
 
 
@@ -278,9 +279,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], pi
     return model
 
 
-def memberships(docs: DataFrame, model: DomainModel, pieces: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def memberships(docs: DataFrame, model: DomainModel, pieces: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", carry: bool = False, cache: int = CACHE_WORDS) -> DataFrame:
     """(id, tokens, p array) for every row; with ``carry`` also text and ``rest``, a struct of the other columns."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, pieces))
+    shared = docs.sparkSession.sparkContext.broadcast((model, pieces, cache))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, facts = shared.value[0], facts_of(*shared.value)
@@ -375,7 +376,7 @@ def rated(members: DataFrame, steps: np.ndarray) -> DataFrame:
     return members.mapInArrow(run, with_fields(members.schema, rate=T.DoubleType())).withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, pieces: tuple[str, ...], targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, lowered: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, pieces: tuple[str, ...], targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, lowered: Sequence[str] = (), cache: int = CACHE_WORDS) -> DataFrame:
     """One row per input row: id, tokens, p_<domain>..., rate, copies, target_gap; with ``carry`` also ``row``, a struct of all input columns.
 
     ``labelled``: (id, domain); ``lowered``: domains whose share is lowered to the target but never raised. Null and empty texts have no tokens and take the rate of their posteriors.
@@ -386,7 +387,7 @@ def mix(docs: DataFrame, labelled: DataFrame, pieces: tuple[str, ...], targets:
     targets. No shuffle but that of k by k sums."""
     targets = targets or TARGETS
     model = fit_domains(docs, labelled, list(targets), pieces, id_col=id_col, text_col=text_col)
-    members = written(memberships(docs, model, pieces, id_col, text_col, carry), "memberships")
+    members = written(memberships(docs, model, pieces, id_col, text_col, carry, cache), "memberships")
     steps, trace = fit_rates(members, list(targets.values()), lowered=[list(targets).index(d) for d in lowered])
     reached = np.array(trace[-1]["tokens"])
     gap = float(np.abs(reached / reached.sum() - np.array(trace[0]["goal"])).max()) if reached.sum() else 0.0
@@ -401,4 +402,4 @@ def op8_soft_mixing(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
     import public_tokenizers
 
     pieces = load_pieces(vocabulary or public_tokenizers.path("piece_bpe_32k.model"))
-    return mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), pieces)
+    return mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), pieces, cache=QUERY_CACHE_WORDS)

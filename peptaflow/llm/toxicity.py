@@ -35,6 +35,8 @@ STEMS = range(3, 9)
 HEAD = 5
 _WORD = re.compile(r"\w+")
 CACHE_WORDS = 400_000
+#: Scored term counts that a worker remembers, for copies.
+CACHE_SCORES = 8_000
 
 
 def word_terms(word: str) -> list[str]:
@@ -204,7 +206,7 @@ class ToxicityModel:
             return self.bare, ""
         key = tuple(sorted(counts.items()))
         if key not in self.cache:
-            if len(self.cache) >= 50_000:
+            if len(self.cache) >= CACHE_SCORES:
                 self.cache.clear()
             ids, scores = self.index.search(self.vector(counts), self.k)
             p = float(np.interp(self.vote(ids, scores), *self.knots))
